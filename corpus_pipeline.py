@@ -1,21 +1,58 @@
-"""The corpus pipeline: stages in order, each an operator of ``tidemark.llm``."""
+"""The corpus pipeline: five stages, each an operator of ``tidemark.llm``.
+
+Each stage works on all documents that its predecessor kept, and all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import decontamination, line_dedup, mixing, quality_rules, simhash
+from tidemark.llm.queries import MIX
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their language's perplexity bands reject go."""
     return quality_rules.keep_documents(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier line go; n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles) the document with the smallest doc_id stays."""
+    return simhash.keep_one_of_each(docs, shingle=5)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that sources get their target weights, shuffled globally."""
+    return mixing.mix_sources(docs, MIX)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+
+#: The stages fit models and run similarity joins that SQL cannot express; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that all stages leave of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

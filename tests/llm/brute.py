@@ -87,3 +87,25 @@ def substring_removed(rows: list[tuple], size: int = 50) -> dict:
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[d] = len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
     return out
+
+
+def line_removals(rows: list[tuple], least: int = 5) -> dict:
+    """doc_id -> line numbers removed, of rows (doc_id, text) with distinct doc_ids."""
+    lines = []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        for i, line in enumerate((t or "").split("\n")):
+            tokens = frozenset(WORD.findall(lower(line)))
+            if len(tokens) >= least:
+                lines.append((d, i, tokens))
+    out: dict = {}
+    seen: dict = {}
+    for d, i, tokens in lines:
+        near = any(
+            5 * len(tokens & other) >= 4 * len(tokens | other)
+            for n in range(-(-len(tokens) * 4 // 5), len(tokens) * 5 // 4 + 1)
+            for other in seen.get(n, ())
+        )
+        if near:
+            out.setdefault(d, []).append(i)
+        seen.setdefault(len(tokens), {})[tokens] = None
+    return out

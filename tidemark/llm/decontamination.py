@@ -116,7 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, lookups
         .join(items, "item")
     )
     found = passages.groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "ats", F.col("words").alias("item_words"))).alias("at"))
-    rows = docs.join(stored(found, "passages"), "key", "left")
+    # always a merge join: the candidates grow with the documents, so the plan must not change with their size
+    rows = docs.join(stored(found, "passages").hint("merge"), "key", "left")
     return matched(rows.select("doc_id", words(F.col("text")).alias("words"), "at"), size)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, class_lm, decontamination, quality_rules, rule_ensemble, simhash, toxicity
+from . import chat_format, class_lm, decontamination, line_dedup, mixing, quality_rules, rule_ensemble, simhash, substring, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,26 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return docs.select("doc_id", "n_lines_removed", lines.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl"
     )
 
 
+#: Target shares of named sources; the others share the rest by their sizes.
+MIX = {"src0": 0.10, "src1": 0.08, "src2": 0.08}
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir), MIX)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -55,9 +69,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_documents(spark, sf_dir), benchmark).drop("hits")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_substrings(_documents(spark, sf_dir)).drop("kept")
+
+
 _ALL = (
-    op1_quality_classifier, op2_lm_scoring, op3_chat_format, op5_quality_rules, op7_toxicity, op8_simhash,
-    op9_decontamination,
+    op1_quality_classifier, op2_lm_scoring, op3_chat_format, op4_line_dedup, op5_quality_rules, op6_mix_sources,
+    op7_toxicity, op8_simhash, op9_decontamination, op10_substring_dedup,
 )
 
 

@@ -242,6 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     linked = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_low")
     found = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+    # stored, so that this join stands alone and Spark can split a hot fingerprint's rows
+    found = stored(found, "classes")
     return marked.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

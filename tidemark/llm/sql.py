@@ -44,6 +44,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+#: Mean of a source is rate; means over 32 are sums of parts, each inverted at a hash of its own.
+_MIX = """
+shares AS (
+  SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN 0.10 WHEN 'src1' THEN 0.08 WHEN 'src2' THEN 0.08 END AS w FROM {docs} GROUP BY source
+), whole AS (
+  SELECT sum(n)::DOUBLE AS rows, sum(n) FILTER (w IS NULL)::DOUBLE AS rest, coalesce(sum(w), 0)::DOUBLE + CASE WHEN count(*) > count(w) THEN 1 - 0.26 ELSE 0 END AS total FROM shares
+), rates AS (
+  SELECT source, coalesce(w::DOUBLE, n * (1 - 0.26) / rest) / total * rows / n AS rate FROM shares, whole
+), parts AS (SELECT source, greatest(ceil(rate / 32), 1)::INT AS m, rate / greatest(ceil(rate / 32), 1) AS mean FROM rates
+), pmf AS (
+  SELECT source, m, k, CASE WHEN mean > 0 THEN exp(k * ln(mean) - mean - lgamma(k + 1)) ELSE (k = 0)::INT END AS p FROM parts, (SELECT unnest(range(128)) AS k)
+), cdf AS (SELECT source, m, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf
+), numbers AS (
+  SELECT d.rowid AS r, count(*) AS copies
+  FROM {docs} d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source, unnest(range(1, m + 1)) AS part(i)
+  WHERE c <= ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT / 4503599627370496.0
+  GROUP BY d.rowid
+)
+SELECT d.* EXCLUDE (rowid), copy::INT AS copy, md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':order:' || copy) AS shuffle_key
+FROM numbers JOIN {docs} d ON d.rowid = r, unnest(range(1, copies + 1)) AS x(copy)
+"""
+SQL["op6_mix_sources"] = "WITH docs AS (SELECT *, row_number() OVER () AS rowid FROM documents), " + _MIX.format(docs="docs")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear over the presence of hashed words. It is trained in numpy from
+The classifier is linear over the presence of hashed words and word beginnings. It is trained in numpy from
 confirmed toxic examples and unlabelled texts: the risk of the negative class is the
 unlabelled risk less the class prior's share of the positive one, and is kept from
 falling below zero (Kiryo et al., 2017).
@@ -24,10 +24,24 @@ BUCKETS = 1 << 20
 _LETTER = byte_set(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 
 
-def word_buckets(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) of the texts' words: runs of letters and digits, A-Z as a-z."""
+def token_buckets(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the texts' words and of their first four and five bytes, which inflections share.
+
+    Words are runs of letters and digits, A-Z as a-z.
+    """
     start, end, text = piece.ranges(_LETTER[piece.data])
-    bucket = (range_hash(running(BYTE[LOWER[piece.data]]), start, end) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    sums = running(BYTE[LOWER[piece.data]])
+    hashes, owners = [range_hash(sums, start, end)], [text]
+    for size in (4, 5):
+        long = end - start > size
+        hashes.append(range_hash(sums, start[long], start[long] + size) + np.uint64(size))
+        owners.append(text[long])
+    return np.concatenate(owners), (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def word_buckets(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, bucket) pairs."""
+    text, bucket = token_buckets(piece)
     pairs = np.unique(text * BUCKETS + bucket)
     return pairs // BUCKETS, pairs % BUCKETS
 
@@ -157,8 +171,7 @@ def toxicity_scores(
         for batch in batches:
             scores = [np.zeros(0)]
             for piece in pieces(batch.column(1)):
-                start, end, text = piece.ranges(_LETTER[piece.data])
-                bucket = (range_hash(running(BYTE[LOWER[piece.data]]), start, end) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                text, bucket = token_buckets(piece)
                 told = np.flatnonzero(table[bucket])
                 pairs = np.unique(text[told] * BUCKETS + bucket[told])
                 odds = np.bincount(pairs // BUCKETS, weights=table[pairs % BUCKETS], minlength=piece.n) + model.intercept
