@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans._base import Query
 
+FAMILIES: tuple[str, ...] = ()
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {name: q for family in FAMILIES for name, q in importlib.import_module(f"tidemark.plans.{family}").FAMILY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for family in FAMILIES for name, s in importlib.import_module(f"tidemark.plans.{family}").FAMILY.sql.items()}
