@@ -26,6 +26,7 @@ def test_substrings(spark, rows):
 @pytest.mark.parametrize("witnesses", [4, 1])
 def test_lines(spark, rows, witnesses, monkeypatch):
     monkeypatch.setattr(line_dedup, "WITNESSES", witnesses)
+    monkeypatch.setattr(line_dedup, "KEPT", witnesses)
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     got = {r.doc_id: sorted(r.lines) for r in line_dedup.removed_lines(docs).collect()}
     want = brute.line_removals(rows)

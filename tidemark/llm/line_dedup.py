@@ -10,9 +10,9 @@ verified on the whole token sets. A line is removed if an earlier line is simila
 Rarity is a Spark-summed table of ``SKETCH`` hashed counters over all texts: every total
 order of the tokens gives the same pairs, so collisions cost time and never results.
 
-For each line an earlier similar one is enough. Per shared token the first ``WITNESSES``
-earlier candidates are verified; lines for which none of them is similar, and which had more,
-are verified against all the rest, so no match is lost and no group emits all its pairs.
+One earlier similar line is enough. The earlier candidate with the nearest parity map is
+verified first, then the other candidates at hand, then, for lines that are still open and
+had more than were kept, all the rest. So no match is lost and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from ._text import BYTE, LOWER, WORD, Piece, mix, pieces, range_hash, running
 
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
-WITNESSES = 4
+#: Candidates that a shared token gives a line, and that a line keeps in all, before the last round.
+WITNESSES, KEPT = 4, 8
 #: Prefix entries that one task reads, on average.
-TASK_ENTRIES = 1_500_000
+TASK_ENTRIES = 500_000
 #: Unresolved lines that one further round takes.
 ROUND_LINES = 500_000
 U = np.uint64
@@ -55,6 +56,8 @@ class Lines:
         line_start, _, line_text = piece.lines()
         first_line = np.searchsorted(line_text, np.arange(piece.n))
         tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
+        #: the counter of every word, repeats included
+        self.words = (tokens & U(SKETCH - 1)).astype(np.int64)
         owner = np.searchsorted(line_start, start, "right") - 1
         order = np.argsort(tokens)
         order = order[_stable(owner[order])]
@@ -83,24 +86,40 @@ class Lines:
         return np.bitwise_xor.reduceat(U(1) << (mix(self.tokens) >> U(58)), self.first)
 
 
-def rarity_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashed token counts of all texts, saturated at 65535."""
+def line_table(docs: DataFrame, least: int) -> DataFrame:
+    """(set, doc_id, line, size) of every line with enough distinct tokens, and the tokens' counters.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows with line -1 are counters of this task: ``set`` is the counter and ``size`` its count.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH, dtype=np.int32)
         for batch in batches:
-            for piece in pieces(batch.column(0)):
-                start, end, _ = piece.ranges(WORD[piece.data])
-                tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
-                np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
-        bucket = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(table[bucket])], ["bucket", "n"])
+            for piece in pieces(batch.column(1)):
+                lines = Lines(piece, least)
+                np.add.at(table, lines.words, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(lines.set.view(np.int64)), batch.column(0).take(pa.array(piece.first + lines.text)),
+                        pa.array(lines.number.astype(np.int32)), pa.array(lines.size.astype(np.int32)),
+                    ],
+                    ["set", "doc_id", "line", "size"],
+                )
+        seen = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen), pa.nulls(len(seen), pa.int64()), pa.array(np.full(len(seen), -1, dtype=np.int32)), pa.array(table[seen])], ["set", "doc_id", "line", "size"]
+        )
+
+    return docs.select("doc_id", "text").mapInArrow(apply, "set long, doc_id long, line int, size int")
+
 
-    counts = docs.select(F.col(text_col)).mapInArrow(count, "bucket int, n int")
-    counts = counts.groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).filter("n > 1").toArrow()
-    table = np.ones(SKETCH, dtype=np.uint16)
-    table[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return table
+def rarity_table(table: DataFrame) -> np.ndarray:
+    """The counters of a :func:`line_table`, summed and saturated at 65535."""
+    counts = table.filter("line = -1").groupBy(F.col("set").cast("int").alias("bucket")).agg(F.least(F.sum("size"), F.lit(65535)).cast("int").alias("n"))
+    counts = counts.filter("n > 1").toArrow()
+    out = np.ones(SKETCH, dtype=np.uint16)
+    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return out
 
 
 def prefix_length(size: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -108,12 +127,15 @@ def prefix_length(size: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """The prefix entries of the lines; ``doc`` is each line's doc_id."""
+    """The prefix entries of the lines, of equal ones the first; ``doc`` is each line's doc_id."""
+    by_set = np.lexsort((lines.number, doc, lines.set))
+    repeat = np.zeros(len(lines), dtype=bool)
+    repeat[by_set[1:]] = lines.set[by_set[1:]] == lines.set[by_set[:-1]]
     rank = rarity[(lines.tokens & U(SKETCH - 1)).astype(np.int64)]
     order = _stable(rank)
     order = order[_stable(lines.owner[order])]
     place = np.arange(len(order)) - lines.first[lines.owner]
-    chosen = place < prefix_length(lines.size, threshold)[lines.owner]
+    chosen = place < np.where(repeat, 0, prefix_length(lines.size, threshold))[lines.owner]
     order, place = order[chosen], place[chosen]
     owner = lines.owner[order]
     out = np.empty(len(order), dtype=ENTRY)
@@ -125,19 +147,30 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
 
 
 def _first_of_each(entries: np.ndarray) -> np.ndarray:
-    """One entry of each (token, set): that of the first occurrence; sorted by token, then occurrence."""
-    entries = entries[np.lexsort((entries["line"], entries["doc"], entries["set"], entries["token"]))]
-    new = np.ones(len(entries), dtype=bool)
-    new[1:] = (entries["token"][1:] != entries["token"][:-1]) | (entries["set"][1:] != entries["set"][:-1])
-    entries = entries[new]
+    """One entry of each (token, set), that of the first occurrence, of tokens with two sets or more; by token, then occurrence."""
+    key = (entries["token"].astype(U) << U(32)) | (entries["set"] >> U(32))
+    entries = entries[np.argsort(key)]
+    same = np.zeros(len(entries) + 1, dtype=bool)
+    same[1:-1] = (entries["token"][1:] == entries["token"][:-1]) & (entries["set"][1:] == entries["set"][:-1])
+    several = same[1:] | same[:-1]
+    part = entries[several]
+    part = part[np.lexsort((part["line"], part["doc"], part["set"], part["token"]))]
+    first = np.ones(len(part), dtype=bool)
+    first[1:] = (part["token"][1:] != part["token"][:-1]) | (part["set"][1:] != part["set"][:-1])
+    entries = np.concatenate([entries[~several], part[first]])
+    entries = entries[np.argsort(entries["token"], kind="stable")]
+    token = entries["token"]
+    alone = np.ones(len(entries) + 1, dtype=bool)
+    alone[1:-1] = token[1:] != token[:-1]
+    entries = entries[~(alone[1:] & alone[:-1])]
     return entries[np.lexsort((entries["line"], entries["doc"], entries["token"]))]
 
 
-def candidates(entries: np.ndarray, threshold: Fraction, skip: int, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of entry numbers that pass all filters, and whether the later had more.
 
-    ``entries`` are sorted by token and occurrence. Each entry gets its candidates number
-    ``skip`` to ``skip + limit``; ``only`` marks the entries to find candidates for. Entries of
+    ``entries`` are sorted by token and occurrence. Each entry gets its first
+    ``limit`` candidates; ``only`` marks the entries to find candidates for. Entries of
     a token are compared at growing distances, all tokens at once, until they have enough.
     """
     n = len(entries)
@@ -145,6 +178,7 @@ def candidates(entries: np.ndarray, threshold: Fraction, skip: int, limit: int |
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if n else np.zeros(0, np.int64)
     begin = np.repeat(begin, np.diff(np.append(begin, n)))
     size, place, parity = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["parity"]
+    name = entries["set"]
     t, u = threshold.numerator, threshold.denominator
     have = np.zeros(n, dtype=np.int64)
     live = np.arange(n)
@@ -160,16 +194,16 @@ def candidates(entries: np.ndarray, threshold: Fraction, skip: int, limit: int |
         apart = a + b - 2 * needed
         ok = (b * u >= a * t) & (a * u >= b * t)
         ok &= np.minimum(place[live], place[other]) + np.minimum(a - place[live], b - place[other]) >= needed
-        ok &= np.bitwise_count(parity[live] ^ parity[other]) <= apart
+        ok &= (np.bitwise_count(parity[live] ^ parity[other]) <= apart) & (name[live] != name[other])
+        ok &= (entries["doc"][live] != entries["doc"][other]) | (entries["line"][live] != entries["line"][other])
         x, y = live[ok], other[ok]
         have[x] += 1
-        keep = have[x] > skip
         if limit is not None:
-            over = have[x] > skip + limit
+            over = have[x] > limit
             more[x[over]] = True
-            keep &= ~over
-        later.append(x[keep])
-        earlier.append(y[keep])
+            x, y = x[~over], y[~over]
+        later.append(x)
+        earlier.append(y)
         other = other + 1
         going = (other < live) & ~more[live]
         live, other = live[going], other[going]
@@ -177,13 +211,14 @@ def candidates(entries: np.ndarray, threshold: Fraction, skip: int, limit: int |
     return np.concatenate(none + later), np.concatenate(none + earlier), more
 
 
-PAIR = "x long, y long, x_doc long, x_line int, y_doc long, y_line int, more boolean"
+PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean"
 
 
-def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, tasks: int, skip: int = 0, limit: int | None = WITNESSES, only: np.ndarray | None = None) -> DataFrame:
-    """Distinct candidate pairs of token sets with their first occurrences; ``x`` is the later one.
+def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences.
 
-    Prefix entries travel as packed arrays, one row for each task and shard.
+    ``apart`` is the distance of the parity maps, ``more`` marks lines with candidates beyond
+    ``limit``. Prefix entries travel as packed arrays, one row for each task and shard.
     """
     shared = docs.sparkSession.sparkContext.broadcast((rarity, only))
     shards = 4 * tasks
@@ -196,7 +231,7 @@ def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, le
                 lines = Lines(piece, least)
                 held.append(entries_of(lines, ids[piece.first + lines.text].astype(np.int64), shared.value[0], threshold))
                 size += len(held[-1])
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield _dealt(held, shards)
                     held, size = [], 0
         if size:
@@ -209,29 +244,28 @@ def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, le
         entries = _first_of_each(np.concatenate(blobs))
         del blobs
         chosen = shared.value[1]
-        x, y, more = candidates(entries, threshold, skip, limit, None if chosen is None else np.isin(entries["set"], chosen))
+        x, y, more = candidates(entries, threshold, limit, None if chosen is None else np.isin(entries["set"], chosen))
         later, earlier = entries[x], entries[y]
         _, one = np.unique(mix(later["set"]) ^ earlier["set"], return_index=True)
-        later, earlier, flag = later[one], earlier[one], more[x[one]]
+        flagged = np.unique(later["set"][more[x]])
+        later, earlier = later[one], earlier[one]
+        flag = np.isin(later["set"], flagged)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(later["line"]),
-                pa.array(earlier["doc"]), pa.array(earlier["line"]), pa.array(flag),
+                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(earlier["doc"]),
+                pa.array(np.bitwise_count(later["parity"] ^ earlier["parity"]).astype(np.int32)), pa.array(flag),
             ],
-            ["x", "y", "x_doc", "x_line", "y_doc", "y_line", "more"],
+            ["x", "y", "x_doc", "y_doc", "apart", "more"],
         )
 
     packed = docs.select("doc_id", "text").mapInArrow(split, "shard int, entries binary").repartition(tasks, "shard")
-    pairs = packed.mapInArrow(join, PAIR)
-    return pairs.groupBy("x", "y").agg(
-        F.first(F.struct("x_doc", "x_line", "y_doc", "y_line")).alias("at"), F.max("more").alias("more")
-    ).select("x", "y", "at.*", "more")
+    return packed.mapInArrow(join, PAIR)
 
 
 def _dealt(held: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    entries = _first_of_each(np.concatenate(held))
+    entries = np.concatenate(held)
     shard = entries["token"] % shards
-    order = np.argsort(shard, kind="stable")
+    order = _stable(shard)
     entries, shard = entries[order], shard[order]
     name, first = np.unique(shard, return_index=True)
     blobs = [entries[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(entries)), strict=True)]
@@ -259,10 +293,14 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"])
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, threshold: Fraction, least: int) -> DataFrame:
-    """The pairs (x, y) whose whole token sets have at least the threshold's Jaccard similarity."""
+def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(set, tokens) of both ends of the pairs (x, x_doc, y, y_doc)."""
     ends = pairs.select(F.col("x").alias("set"), F.col("x_doc").alias("doc")).union(pairs.select("y", "y_doc")).distinct()
-    sets = stored(_token_sets(docs, ends, least), "sets")
+    return stored(_token_sets(docs, ends, least), "sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (x, y) whose whole token sets have at least the threshold's Jaccard similarity."""
     both = pairs.select("x", "y").join(sets.withColumnsRenamed({"set": "x", "tokens": "a"}), "x").join(sets.withColumnsRenamed({"set": "y", "tokens": "b"}), "y")
     t, u = threshold.numerator, threshold.denominator
 
@@ -279,24 +317,6 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, threshold: Fraction, least:
     return both.select("x", "y", "a", "b").mapInArrow(verify, "x long, y long")
 
 
-def line_sets(docs: DataFrame, least: int) -> DataFrame:
-    """(set, doc_id, line, size) of every line with enough distinct tokens."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch.column(1)):
-                lines = Lines(piece, least)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(lines.set.view(np.int64)), batch.column(0).take(pa.array(piece.first + lines.text)),
-                        pa.array(lines.number.astype(np.int32)), pa.array(lines.size.astype(np.int32)),
-                    ],
-                    ["set", "doc_id", "line", "size"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "set long, doc_id long, line int, size int")
-
-
 def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> DataFrame:
     """(doc_id, lines array<int>): the numbers (from 0) of the lines to remove, of documents that lose any.
 
@@ -307,21 +327,33 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     spark = docs.sparkSession
     share = Fraction(threshold)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    lines = stored(line_sets(rows, least), "lines")
+    table = stored(line_table(rows, least), "lines")
+    lines = table.filter("line >= 0")
     total = lines.agg(F.sum(F.floor(F.col("size") * (1 - float(share))) + 1)).head()[0] or 0
     tasks = max(1, math.ceil(total / TASK_ENTRIES))
-    rarity = rarity_table(rows)
-    pairs = stored(candidate_pairs(rows, rarity, share, least, tasks), "pairs")
+    rarity = rarity_table(table)
+    found = []
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> None:
+        found.append(stored(similar_pairs(pairs, sets, share).select("x").distinct(), "similar"))
+        release_shuffles(spark)
+
+    first_pairs = candidate_pairs(rows, rarity, share, least, tasks, WITNESSES)
+    others = F.collect_set(F.struct("apart", "y", "y_doc"))
+    kept = first_pairs.groupBy("x").agg(F.first("x_doc").alias("x_doc"), F.sort_array(others).alias("ys"), F.max("more").alias("more"))
+    kept = stored(kept.select("x", "x_doc", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
     release_shuffles(spark)
-    near = stored(similar_pairs(rows, pairs, share, least).select("x").distinct(), "near")
-    open_sets = stored(pairs.filter("more").select("x").distinct().join(near, "x", "left_anti"), "open")
-    found = [near]
+    pair = lambda df, ys: df.select("x", "x_doc", F.explode(ys).alias("p")).select("x", "x_doc", "p.y", "p.y_doc")
+    sets = sets_of(rows, pair(kept, F.col("ys")), least)
+    verify(pair(kept, F.slice("ys", 1, 1)), sets)
+    left = kept.filter(F.size("ys") > 1).join(found[0], "x", "left_anti")
+    verify(pair(left, F.slice("ys", 2, KEPT)), sets)
+    open_sets = stored(left.filter("more").select("x").join(found[1], "x", "left_anti"), "open")
     rounds = math.ceil(open_sets.count() / ROUND_LINES)
     for i in range(rounds):
         part = open_sets.filter(F.pmod(F.xxhash64("x"), F.lit(rounds)) == i).toArrow().column("x").to_numpy().view(U)
-        rest = stored(candidate_pairs(rows, rarity, share, least, tasks, skip=WITNESSES, limit=None, only=np.sort(part)), "pairs")
-        found.append(stored(similar_pairs(rows, rest, share, least).select("x").distinct(), "near"))
-    release_shuffles(spark)
+        rest = stored(candidate_pairs(rows, rarity, share, least, tasks, only=np.sort(part)).dropDuplicates(["x", "y"]), "pairs")
+        verify(rest, sets_of(rows, rest, least))
     similar = found[0]
     for more in found[1:]:
         similar = similar.union(more)

@@ -296,6 +296,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
 
     anchors = units.select("unit", "doc_id", F.explode("anchors").alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    recurring = stored(recurring, "recurring")  # so that the join below stands alone and Spark can split hot anchors
     own = anchors.select("unit", "anchor").join(recurring, "anchor").groupBy("unit").agg(F.collect_list("anchor").alias("anchors"))
     own = stored(units.select("unit", "doc_id", "sha").join(own, "unit"), "anchors")
     texts = stored(candidate_windows(rows.join(own, "doc_id"), size).dropDuplicates(["unit"]), "candidates")
@@ -304,6 +305,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     seen = texts.select("unit", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("unit", "doc_id", "w.places", "w.hashes")
     seen = seen.withColumnsRenamed({"places": "place", "hashes": "hash"})
     again = seen.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first")
+    again = stored(again, "again")
     links = seen.join(again, "hash").groupBy("unit", "doc_id", "first").agg(F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("place"))).alias("places"))
     links = stored(links, "links")
     release_shuffles(spark)
