@@ -32,8 +32,8 @@ def nearest(
     spread = {"both": (-1, 0, 1), "backward": (-1, 0), "forward": (0, 1)}[direction]
     wanted = left.select(*by, *[k for k in key if k not in by], F.col(target).alias("_target"))
     wanted = wanted.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("_target") / F.lit(width)).cast("long") + s for s in spread])))
-    order = F.col(seq) if seq else F.col("at")
-    rows = right.select(*by, F.col("at").alias("_at"), order.alias("_seq"), F.struct(*payload).alias("_payload"), F.floor(F.col("at") / F.lit(width)).cast("long").alias("_bucket"))
+    order = F.col(seq) if seq else F.col("tick")
+    rows = right.select(*by, F.col("tick").alias("_at"), order.alias("_seq"), F.struct(*payload).alias("_payload"), F.floor(F.col("tick") / F.lit(width)).cast("long").alias("_bucket"))
     gap = F.col("_target") - F.col("_at")
     low, high = {"both": (-tolerance, tolerance), "backward": (0, tolerance), "forward": (-tolerance, 0)}[direction]
     pairs = wanted.join(rows, [*by, "_bucket"]).filter(gap.between(low, high))
@@ -50,7 +50,7 @@ def latest_before(left: DataFrame, right: DataFrame, by: Sequence[str], target:
     """
     extra = [c for c in left.columns if c not in by]
     merged = left.select(*by, F.col(target).alias("_t"), F.lit(1).alias("_kind"), F.struct(*extra).alias("_left")).unionByName(
-        right.select(*by, F.col("at").alias("_t"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_right")), allowMissingColumns=True
+        right.select(*by, F.col("tick").alias("_t"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_right")), allowMissingColumns=True
     )
     before = Window.partitionBy(*by).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = merged.withColumn("_last", F.last("_right", ignorenulls=True).over(before)).filter("_kind = 1")
@@ -68,7 +68,7 @@ def interval_of(points: DataFrame, intervals: DataFrame, by: Sequence[str], key:
     Columns: key, target, start_at, end_at, matched. The default window of ``default``
     microseconds ends at the target.
     """
-    ends = intervals.select(*by, F.col("end_at").alias("at"), "start_at", "end_at")
+    ends = intervals.select(*by, F.col("end_at").alias("tick"), "start_at", "end_at")
     found = nearest(points, ends, by, key, target, tolerance, ["start_at", "end_at"])
     return found.select(
         *key, target, F.coalesce("start_at", F.col(target) - default).alias("start_at"), F.coalesce("end_at", F.col(target)).alias("end_at"),
@@ -85,7 +85,7 @@ def count_between(intervals: DataFrame, rows: DataFrame, by: Sequence[str], key:
     marks = intervals.select(*by, *ids, F.col(low).alias("_t"), F.lit(0).alias("_kind"), F.lit(-1).alias("_sign")).unionByName(
         intervals.select(*by, *ids, F.col(high).alias("_t"), F.lit(2).alias("_kind"), F.lit(1).alias("_sign"))
     )
-    merged = marks.unionByName(rows.select(*by, F.col("at").alias("_t"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    merged = marks.unionByName(rows.select(*by, F.col("tick").alias("_t"), F.lit(1).alias("_kind")), allowMissingColumns=True)
     running = Window.partitionBy(*by).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = merged.withColumn("_n", F.sum(F.when(F.col("_kind") == 1, 1).otherwise(0)).over(running)).filter("_kind <> 1")
     return counted.groupBy(*key).agg(F.sum(F.col("_sign") * F.col("_n")).cast("long").alias("n"))

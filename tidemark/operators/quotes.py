@@ -30,7 +30,7 @@ def snapshots(quotes: DataFrame) -> DataFrame:
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """The last quote of each series (event_id, outcome); equal times go by seq."""
-    return asof.latest(quotes, ["event_id", "outcome"], ["at", "seq"], ["at", "bid", "ask", "mid", "volume_24h", "liquidity"])
+    return asof.latest(quotes, ["event_id", "outcome"], ["tick", "seq"], ["tick", "bid", "ask", "mid", "volume_24h", "liquidity"])
 
 
 def changes(quotes: DataFrame, windows: Mapping[str, tuple[int, int]]) -> DataFrame:
@@ -42,14 +42,14 @@ def changes(quotes: DataFrame, windows: Mapping[str, tuple[int, int]]) -> DataFr
     """
     keys = ["event_id", "outcome"]
     last = latest_quotes(quotes)
-    ends = last.select(*keys, F.col("at").alias("_end"))
+    ends = last.select(*keys, F.col("tick").alias("_end"))
     rows = quotes.join(ends, keys)
     picks = []
     for name, (distance, tolerance) in windows.items():
-        gap = F.col("at") - (F.col("_end") - distance * asof.SECOND)
-        order = F.struct(F.abs(gap).alias("d"), F.col("at").alias("t"), F.col("seq").alias("s"))
+        gap = F.col("tick") - (F.col("_end") - distance * asof.SECOND)
+        order = F.struct(F.abs(gap).alias("d"), F.col("tick").alias("t"), F.col("seq").alias("s"))
         near = F.abs(gap) <= tolerance * asof.SECOND
-        picks.append(F.min_by(F.when(near, F.struct("at", "mid", "ask", "bid")), F.when(near, order)).alias(f"_{name}"))
+        picks.append(F.min_by(F.when(near, F.struct("tick", "mid", "ask", "bid")), F.when(near, order)).alias(f"_{name}"))
     found = last.join(rows.groupBy(*keys).agg(*picks), keys)
     now = {c: F.col(c) for c in PRICES}
     for name in windows:
@@ -58,14 +58,14 @@ def changes(quotes: DataFrame, windows: Mapping[str, tuple[int, int]]) -> DataFr
     columns = []
     for name in windows:
         c = F.col(f"_c{name}")
-        columns += [F.col(f"_{name}")["at"].alias(f"at_{name}"), c["base"].alias(f"base_{name}"), c["change"].alias(f"change_{name}"), c["reference"].alias(f"reference_{name}")]
+        columns += [F.col(f"_{name}")["tick"].alias(f"at_{name}"), c["base"].alias(f"base_{name}"), c["change"].alias(f"change_{name}"), c["reference"].alias(f"reference_{name}")]
     return found.select(*last.columns, *columns)
 
 
 def gaps(quotes: DataFrame) -> DataFrame:
     """Seconds since the previous quote of the event; null for the first."""
-    before = F.lag("at").over(Window.partitionBy("event_id").orderBy("at", "seq"))
-    return quotes.withColumn("gap", (F.col("at") - before) / asof.SECOND)
+    before = F.lag("tick").over(Window.partitionBy("event_id").orderBy("tick", "seq"))
+    return quotes.withColumn("gap", (F.col("tick") - before) / asof.SECOND)
 
 
 def watch_band(start: Column, as_of: int, soon_minutes: int, live_minutes: int) -> Column:
@@ -79,11 +79,11 @@ def moves(quotes: DataFrame, lookback: int, horizon: int, tolerance: int) -> Dat
 
     Each end is the nearest mid within the tolerance, the later one at equal distance.
     """
-    series = quotes.filter(F.col("mid").isNotNull()).select("event_id", "outcome", "seq", "at", "mid")
+    series = quotes.filter(F.col("mid").isNotNull()).select("event_id", "outcome", "seq", "tick", "mid")
     keys = ["event_id", "outcome"]
-    here = series.withColumn("before_at", F.col("at") - lookback * asof.SECOND).withColumn("after_at", F.col("at") + horizon * asof.SECOND)
-    price = series.select(*keys, "at", F.col("mid").alias("other"), "seq")
+    here = series.withColumn("before_at", F.col("tick") - lookback * asof.SECOND).withColumn("after_at", F.col("tick") + horizon * asof.SECOND)
+    price = series.select(*keys, "tick", F.col("mid").alias("other"), "seq")
     before = asof.nearest(here, price, keys, [*keys, "seq"], "before_at", tolerance * asof.SECOND, ["other"], tie="later").withColumnRenamed("other", "before")
     after = asof.nearest(here, price, keys, [*keys, "seq"], "after_at", tolerance * asof.SECOND, ["other"], tie="later").withColumnRenamed("other", "after")
     joined = here.join(before.drop("before_at"), [*keys, "seq"]).join(after.drop("after_at"), [*keys, "seq"])
-    return joined.select(*keys, "seq", "at", "mid", F.round(F.col("mid") - F.col("before"), 6).alias("move"), F.round(F.col("after") - F.col("mid"), 6).alias("forward"))
+    return joined.select(*keys, "seq", "tick", "mid", F.round(F.col("mid") - F.col("before"), 6).alias("move"), F.round(F.col("after") - F.col("mid"), 6).alias("forward"))

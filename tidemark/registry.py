@@ -6,7 +6,7 @@ import importlib
 
 from .plans._base import Query
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("quotes", "portfolio", "detection", "evaluation", "backtests", "texts", "digests", "graphs")
 
 
 def queries() -> dict[str, Query]:

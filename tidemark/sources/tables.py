@@ -21,7 +21,7 @@ def micros(column: str) -> Column:
 
 
 CTE["quotes"] = """quotes AS (
-  SELECT user_id::VARCHAR AS event_id, event_type AS outcome, epoch_us(ts) AS at,
+  SELECT user_id::VARCHAR AS event_id, event_type AS outcome, epoch_us(ts) AS tick,
     CASE WHEN k % 10 <> 0 THEN round(value / 500 - 0.01, 4) END AS bid,
     CASE WHEN k % 10 <> 1 THEN round(value / 500 + 0.01, 4) END AS ask,
     CASE WHEN k % 10 NOT IN (0, 1) THEN round(value / 500, 4) END AS mid,
@@ -36,7 +36,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     base = F.col("value") / 500
     return rows.select(
-        F.col("user_id").cast("string").alias("event_id"), F.col("event_type").alias("outcome"), micros("ts").alias("at"),
+        F.col("user_id").cast("string").alias("event_id"), F.col("event_type").alias("outcome"), micros("ts").alias("tick"),
         F.when(k % 10 != 0, F.round(base - 0.01, 4)).alias("bid"), F.when(k % 10 != 1, F.round(base + 0.01, 4)).alias("ask"),
         F.when(~(k % 10).isin(0, 1), F.round(base, 4)).alias("mid"), F.round(F.col("value") * 100, 2).alias("volume_24h"),
         (k * F.lit(1000.0)).alias("liquidity"), F.col("event_id").alias("seq"),
@@ -109,5 +109,5 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_ctes(*names: str, body: str) -> str:
-    """SQL text: the named table expressions, then ``body``."""
+    """SQL text: the named table expressions, then ``body``, which may begin with a comma and more of them."""
     return "WITH " + ",\n".join(CTE[n] for n in names) + "\n" + body
