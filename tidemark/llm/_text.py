@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 #: Odd multiplier of the running polynomial and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15

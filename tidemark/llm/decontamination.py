@@ -156,5 +156,5 @@ def matched(rows: DataFrame, size: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, lookups: int = 2) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark stands, all columns as they were."""
-    hit = contamination(docs, benchmark, size, lookups).filter("contaminated").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_hit"))
-    return docs.join(hit.distinct(), F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == F.col("_hit"), "left_anti")
+    hit = contamination(docs, benchmark, size, lookups).filter("contaminated").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_tidemark_hit"))
+    return docs.join(hit.distinct(), F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == F.col("_tidemark_hit"), "left_anti")

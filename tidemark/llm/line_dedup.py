@@ -136,6 +136,7 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
     order = order[_stable(lines.owner[order])]
     place = np.arange(len(order)) - lines.first[lines.owner]
     chosen = place < np.where(repeat, 0, prefix_length(lines.size, threshold))[lines.owner]
+    chosen &= rank[order] > 1  # a counter of 1 is a token that no other line has
     order, place = order[chosen], place[chosen]
     owner = lines.owner[order]
     out = np.empty(len(order), dtype=ENTRY)
@@ -147,7 +148,7 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
 
 
 def _first_of_each(entries: np.ndarray) -> np.ndarray:
-    """One entry of each (token, set), that of the first occurrence, of tokens with two sets or more; by token, then occurrence."""
+    """One entry of each (token, set), that of the first occurrence, of tokens with two sets or more; by token, then place."""
     key = (entries["token"].astype(U) << U(32)) | (entries["set"] >> U(32))
     entries = entries[np.argsort(key)]
     same = np.zeros(len(entries) + 1, dtype=bool)
@@ -158,44 +159,51 @@ def _first_of_each(entries: np.ndarray) -> np.ndarray:
     first = np.ones(len(part), dtype=bool)
     first[1:] = (part["token"][1:] != part["token"][:-1]) | (part["set"][1:] != part["set"][:-1])
     entries = np.concatenate([entries[~several], part[first]])
-    entries = entries[np.argsort(entries["token"], kind="stable")]
+    entries = entries[np.argsort(_spot(entries["token"], entries["place"]))]
     token = entries["token"]
-    alone = np.ones(len(entries) + 1, dtype=bool)
-    alone[1:-1] = token[1:] != token[:-1]
-    entries = entries[~(alone[1:] & alone[:-1])]
-    return entries[np.lexsort((entries["line"], entries["doc"], entries["token"]))]
+    apart = np.ones(len(entries) + 1, dtype=bool)
+    apart[1:-1] = token[1:] != token[:-1]
+    return entries[~(apart[1:] & apart[:-1])]
+
+
+def _spot(token: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (token.astype(U) << U(32)) | place.astype(U)
 
 
 def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of entry numbers that pass all filters, and whether the later had more.
 
-    ``entries`` are sorted by token and occurrence. Each entry gets its first
-    ``limit`` candidates; ``only`` marks the entries to find candidates for. Entries of
-    a token are compared at growing distances, all tokens at once, until they have enough.
+    ``entries`` are sorted by token and place. Each entry gets its first ``limit`` candidates;
+    ``only`` marks the entries to find candidates for. At the first token that two sets
+    share, everything before it in either is not shared, so its two places add up to no more
+    than the sets may differ. An entry is compared with the entries of its token whose
+    place leaves that possible, step by step and for all tokens at once, until it has enough.
     """
     n = len(entries)
-    token = entries["token"]
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if n else np.zeros(0, np.int64)
-    begin = np.repeat(begin, np.diff(np.append(begin, n)))
-    size, place, parity = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["parity"]
-    name = entries["set"]
+    size, place, parity = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["parity"].copy()
+    name, token = entries["set"].copy(), entries["token"]
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.lexsort((entries["line"], entries["doc"]))] = np.arange(n)
+    key = _spot(token, place)
     t, u = threshold.numerator, threshold.denominator
+    # a partner has at most size * u / t tokens, so the sets differ in at most this many
+    most = size + size * u // t - 2 * (-(-size * t // u))
+    live = np.flatnonzero((most >= place) if only is None else (most >= place) & only)
+    stop = np.searchsorted(key, _spot(token[live], (most - place)[live]), "right")
+    other = np.searchsorted(key, _spot(token[live], np.zeros(len(live), np.int64)), "left")
     have = np.zeros(n, dtype=np.int64)
-    live = np.arange(n)
-    live = live[begin < live]
-    if only is not None:
-        live = live[only[live]]
     later, earlier, more = [], [], np.zeros(n, dtype=bool)
-    other = begin[live]  # from the token's first occurrence on
+    going = other < stop
+    live, other, stop = live[going], other[going], stop[going]
     while len(live):
         a, b = size[live], size[other]
         # overlap o has J >= t iff o * (t + u) >= t * (a + b)
         needed = -(-t * (a + b) // (t + u))
         apart = a + b - 2 * needed
-        ok = (b * u >= a * t) & (a * u >= b * t)
-        ok &= np.minimum(place[live], place[other]) + np.minimum(a - place[live], b - place[other]) >= needed
-        ok &= (np.bitwise_count(parity[live] ^ parity[other]) <= apart) & (name[live] != name[other])
-        ok &= (entries["doc"][live] != entries["doc"][other]) | (entries["line"][live] != entries["line"][other])
+        ok = (rank[other] < rank[live]) & (np.bitwise_count(parity[live] ^ parity[other]) <= apart)
+        ok &= (b * u >= a * t) & (a * u >= b * t) & (place[live] + place[other] <= apart)
+        ok &= np.minimum(a - place[live], b - place[other]) >= needed
+        ok &= name[live] != name[other]
         x, y = live[ok], other[ok]
         have[x] += 1
         if limit is not None:
@@ -205,10 +213,12 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
         later.append(x)
         earlier.append(y)
         other = other + 1
-        going = (other < live) & ~more[live]
-        live, other = live[going], other[going]
+        going = (other < stop) & ~more[live]
+        live, other, stop = live[going], other[going], stop[going]
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(none + later), np.concatenate(none + earlier), more
+    x, y = np.concatenate(none + later), np.concatenate(none + earlier)
+    real = (entries["doc"][x] != entries["doc"][y]) | (entries["line"][x] != entries["line"][y])
+    return x[real], y[real], more
 
 
 PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean"
@@ -238,7 +248,7 @@ def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, le
             yield _dealt(held, shards)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_buffer(), dtype=ENTRY) for batch in batches for x in batch.column(1)]
+        blobs = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
         if not blobs:
             return
         entries = _first_of_each(np.concatenate(blobs))
@@ -262,13 +272,28 @@ def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, le
     return packed.mapInArrow(join, PAIR)
 
 
+def _packed(entries: np.ndarray) -> bytes:
+    """The entries field by field, which compresses better than row by row."""
+    return b"".join(entries[name].tobytes() for name in ENTRY.names)
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n, at = data.size // ENTRY.itemsize, 0
+    out = np.empty(n, dtype=ENTRY)
+    for name in ENTRY.names:
+        kind = ENTRY[name]
+        out[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
+        at += n * kind.itemsize
+    return out
+
+
 def _dealt(held: list[np.ndarray], shards: int) -> pa.RecordBatch:
     entries = np.concatenate(held)
     shard = entries["token"] % shards
     order = _stable(shard)
     entries, shard = entries[order], shard[order]
     name, first = np.unique(shard, return_index=True)
-    blobs = [entries[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(entries)), strict=True)]
+    blobs = [_packed(entries[a:b]) for a, b in zip(first, np.append(first[1:], len(entries)), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "entries"])
 
 
@@ -373,11 +398,11 @@ def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Data
     empty table gives an empty result. A column named n_lines_removed is replaced.
     """
     docs = docs.drop("n_lines_removed")
-    removed = stored(removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_doc", "lines": "_lines"}), "removed")
-    rows = docs.join(removed, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_doc"), "left")
+    removed = stored(removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"}), "removed")
+    rows = docs.join(removed, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
     split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_lines", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_tidemark_lines", i)), "\n")
     # rows that share a doc_id may be shorter than the removed numbers say
-    count = F.when(F.col("_lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("_lines", lambda i: i < F.size(split))))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
-    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop("_doc", "_lines")
+    count = F.when(F.col("_tidemark_lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("_tidemark_lines", lambda i: i < F.size(split))))
+    text = F.when(F.col("_tidemark_lines").isNull(), F.col("text")).otherwise(kept)
+    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop("_tidemark_doc", "_tidemark_lines")

@@ -28,7 +28,7 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def target_rates(docs: DataFrame, weights: Mapping[str, float], total: int | None = None, source_col: str = "source") -> DataFrame:
-    """(mix_source, rate): the mean number of copies of each source's documents.
+    """(_tidemark_source, rate): the mean number of copies of each source's documents.
 
     ``weights`` are target shares of named sources; the others split the rest by their
     sizes. Named sources that the documents lack leave their share to all others. ``total``
@@ -36,19 +36,19 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float], total: int | Non
     """
     if min(weights.values(), default=0) < 0 or sum(weights.values()) > 1 + 1e-9:
         raise ValueError("weights must not be negative and must add up to 1 at most")
-    sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count("*").alias("n"))
+    sizes = docs.groupBy(F.col(source_col).alias("_tidemark_source")).agg(F.count("*").alias("n"))
     named = F.lit(None).cast("double")
     if weights:
         pairs = [F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]
-        named = F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("mix_source"), F.lit("")))
-        named = F.when(F.col("mix_source").isNotNull(), named)
+        named = F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("_tidemark_source"), F.lit("")))
+        named = F.when(F.col("_tidemark_source").isNotNull(), named)
     sizes = sizes.withColumn("weight", named)
     rows, present, rest = sizes.agg(F.sum("n"), F.sum("weight"), F.sum(F.when(F.col("weight").isNull(), F.col("n")))).head()
     rows, present, rest = rows or 0, present or 0.0, rest or 0
     remainder = max(1.0 - sum(weights.values()), 0.0) if rest else 0.0
     whole = (present + remainder) or 1.0
     share = F.coalesce(F.col("weight"), F.col("n") * F.lit(remainder / rest if rest else 0.0)) / F.lit(whole)
-    return sizes.select("mix_source", (share * F.lit(float(rows if total is None else total)) / F.col("n")).alias("rate"))
+    return sizes.select("_tidemark_source", (share * F.lit(float(rows if total is None else total)) / F.col("n")).alias("rate"))
 
 
 def poisson_steps(mean: Column) -> Column:
@@ -74,18 +74,15 @@ def mix_sources(
     """
     docs = docs.drop("copy", "shuffle_key")
     rates = target_rates(docs, weights, total, source_col).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
-    rates = rates.select("mix_source", F.col("parts").alias("mix_parts"), poisson_steps(F.col("rate") / F.col("parts")).alias("mix_steps"))
+    rates = rates.select("_tidemark_source", F.col("parts").alias("_tidemark_parts"), poisson_steps(F.col("rate") / F.col("parts")).alias("_tidemark_steps"))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     names = docs.columns
-    rows = docs.join(rates, docs[source_col].eqNullSafe(F.col("mix_source")))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
-        F.lit(0),
-        lambda n, part: n + F.size(F.filter("mix_steps", lambda c: c <= uniform(seed, F.col(id_col), part))),
-    )
-    rows = rows.withColumn("mix_count", count).filter("mix_count > 0")
-    rows = rows.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    rows = docs.join(rates, docs[source_col].eqNullSafe(F.col("_tidemark_source")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_tidemark_parts")), lambda part: uniform(seed, F.col(id_col), part))
+    count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_tidemark_steps", lambda c: c <= u)))
+    rows = rows.withColumn("_tidemark_count", count).filter("_tidemark_count > 0")
+    rows = rows.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("_tidemark_count"))).alias("copy"))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("order"), F.col("copy").cast("string"))))
     dealt = rows.repartitionByRange(partitions, "shuffle_key") if partitions else rows.repartitionByRange("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key")

@@ -253,5 +253,5 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4) -> Data
     All columns are as they were. Of rows that share this doc_id too, all stay.
     """
     found = near_duplicates(docs, shingle=shingle, radius=radius)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_tidemark_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_tidemark_gone"), "left_anti")
