@@ -22,7 +22,7 @@ def nearest(
     """``key``, ``target`` and the payload of the nearest right row with equal ``by``, nulls where there is none.
 
     ``key`` identifies rows of ``left``; ``target`` is its column of microseconds, and the right
-    side's time is ``at``. ``direction`` is both, backward (at <= target) or forward; the tolerance
+    side's time is ``tick``. ``direction`` is both, backward (tick <= target) or forward; the tolerance
     is inclusive. At equal distance ``tie`` decides: earlier, later, first or last (by ``seq``).
 
     Times fall into buckets of the tolerance's width, so the join is on equality of ``by`` and

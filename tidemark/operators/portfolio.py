@@ -31,7 +31,7 @@ def shares_of(stake: Column, entry: Column, shares: Column) -> Column:
 def mark(legs: DataFrame, latest: DataFrame) -> DataFrame:
     """Legs with the value at the latest price: marked_at, value, unrealized and why there is none.
 
-    ``latest`` has event_id, outcome, at, bid, mid, ask; a leg is worth its shares at the bid, or
+    ``latest`` has event_id, outcome, tick, bid, mid, ask; a leg is worth its shares at the bid, or
     at the mid where there is no bid. Legs whose series is unknown keep a row.
     """
     priced = legs.join(latest, ["event_id", "outcome"], "left")

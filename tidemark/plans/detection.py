@@ -74,7 +74,7 @@ def calm_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT w.event_id, w.outcome, q.mid AS past_mid, q.volume_24h AS past_volume FROM w JOIN quotes q USING (event_id, outcome) WHERE q.tick <= w.target AND q.mid IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY w.event_id, w.outcome ORDER BY q.tick DESC, q.seq) = 1),
 x AS (SELECT w.*, past_mid, past_volume, round(CASE WHEN past_mid = 0 THEN 'Infinity'::DOUBLE ELSE abs(mid - past_mid) / past_mid END, 6) AS share, round(abs(mid - past_mid), 6) AS step, greatest(0, volume_24h - past_volume) AS hour_
-  FROM w JOIN p USING (event_id, outcome) WHERE mid BETWEEN 0.15 AND 0.85 AND {NOW} - at <= {240 * HOUR}),
+  FROM w JOIN p USING (event_id, outcome) WHERE mid BETWEEN 0.15 AND 0.85 AND {NOW} - tick <= {240 * HOUR}),
 y AS (SELECT *, round(hour_ / greatest(0.001, (volume_24h - hour_) / 23), 6) AS ratio FROM x)
 SELECT CASE WHEN share >= 0.1 AND step >= 0.03 AND ratio >= 5 THEN 'momentum with volume' WHEN share >= 0.1 AND step >= 0.03 THEN 'momentum' WHEN ratio >= 5 AND share < 0.03 THEN 'volume' END AS kind, count(*) AS n, round(avg(share), 6) AS share, round(avg(ratio), 4) AS ratio
 FROM y GROUP BY 1""")
@@ -90,7 +90,7 @@ def momentum_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_ctes("quotes", body=f""", f AS (SELECT event_id, arg_max({{'at': at, 'outcome': outcome, 'mid': mid, 'bid': bid, 'ask': ask, 'liquidity': liquidity}}, (tick, outcome, seq)) AS l, first(mid ORDER BY tick, outcome, seq) AS first_mid FROM quotes GROUP BY event_id)
+    with_ctes("quotes", body=f""", f AS (SELECT event_id, arg_max({{'tick': tick, 'outcome': outcome, 'mid': mid, 'bid': bid, 'ask': ask, 'liquidity': liquidity}}, (tick, outcome, seq)) AS l, first(mid ORDER BY tick, outcome, seq) AS first_mid FROM quotes GROUP BY event_id)
 SELECT event_id, l.outcome AS outcome, l.mid AS mid, CASE WHEN l.mid IS NULL THEN 'no price' WHEN {NOW} - l.tick > {24 * HOUR} THEN 'stale' WHEN abs(l.mid - 0.5) < 0.1 THEN 'near even' WHEN NOT l.mid BETWEEN 0.05 AND 0.95 THEN 'extreme' WHEN l.ask - l.bid >= 0.05 THEN 'wide' WHEN l.liquidity < 5000 THEN 'thin' END AS reason,
   round(CASE WHEN first_mid <> 0 THEN (l.mid - first_mid) * 100 / first_mid END, 4) AS movement FROM f""")
 )
@@ -158,14 +158,14 @@ def basket_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes("points", body="""
-SELECT match_id, checkpoint, p, round(greatest(0.5, liquidity * least(0.05, p * 10 / 200)), 1) AS stake, ceil(checkpoint / 0.04)::BIGINT AS least_bankroll,
+SELECT match_id, checkpoint, p, floor(greatest(0.5, liquidity * least(0.05::DOUBLE, p * 10 / 200)))::BIGINT AS stake, ceil(checkpoint / 0.04)::BIGINT AS least_bankroll,
   round(CASE WHEN p * (1.5 + 1) - 1 <= 0 THEN 0 ELSE least((p * (1.5 + 1) - 1) / 1.5 * 0.25, 0.1) END, 6) AS kelly, round(p * p * (1 + 2 * (1 - p)), 6) AS best_of_three FROM points WHERE match_id % 20 = 0""")
 )
 def sizing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-19, D-21, E-39."""
     p = F.col("p")
     return points(spark, sf_dir).filter("match_id % 20 = 0").select(
-        "match_id", "checkpoint", "p", F.round(sizing.stake(F.col("liquidity"), p * 10, 0.05), 1).alias("stake"), sizing.least_bankroll(F.col("checkpoint"), 0.1, 0.4).alias("least_bankroll"),
+        "match_id", "checkpoint", "p", F.floor(sizing.stake(F.col("liquidity"), p * 10, 0.05)).alias("stake"), sizing.least_bankroll(F.col("checkpoint"), 0.1, 0.4).alias("least_bankroll"),
         F.round(sizing.kelly(p, F.lit(1.5), 0.25, 0.1), 6).alias("kelly"), F.round(sizing.series_probability(p, 2), 6).alias("best_of_three"),
     )
 

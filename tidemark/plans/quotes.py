@@ -89,7 +89,7 @@ def _radar_sql() -> str:
 )""")
         base = f"CASE WHEN l.mid IS NOT NULL AND w{name}.mid IS NOT NULL THEN 'mid' WHEN l.ask IS NOT NULL AND w{name}.ask IS NOT NULL THEN 'ask' WHEN l.bid IS NOT NULL AND w{name}.bid IS NOT NULL THEN 'bid' END"
         pick = lambda x, b=base: f"CASE {b} WHEN 'mid' THEN {x}.mid WHEN 'ask' THEN {x}.ask WHEN 'bid' THEN {x}.bid END"
-        parts.append(f"w{name}.at AS at_{name}, {base} AS base_{name}, round(({pick('l')}) - ({pick('w' + name)}), 6) AS change_{name}, {pick('w' + name)} AS reference_{name}")
+        parts.append(f"w{name}.tick AS at_{name}, {base} AS base_{name}, round(({pick('l')}) - ({pick('w' + name)}), 6) AS change_{name}, {pick('w' + name)} AS reference_{name}")
     tables = " ".join(f"LEFT JOIN near_{n} w{n} USING (event_id, outcome)" for n in WINDOWS)
     head = with_ctes("quotes", body="") + ", " + _latest_sql("tick, bid, ask, mid, volume_24h, liquidity") + "".join(joins)
     return head + f"\nSELECT l.*, {', '.join(parts)} FROM latest l {tables}"

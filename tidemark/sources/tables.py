@@ -31,7 +31,7 @@ CTE["quotes"] = """quotes AS (
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided quotes: event_id, outcome, at (microseconds), bid, ask, mid, volume_24h, liquidity, seq."""
+    """Two-sided quotes: event_id, outcome, tick (microseconds), bid, ask, mid, volume_24h, liquidity, seq."""
     rows = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     base = F.col("value") / 500
