@@ -23,10 +23,11 @@ def test_substrings(spark, rows):
     assert sum(x[1] for x in want.values()) > 1000
 
 
-@pytest.mark.parametrize("witnesses", [4, 1])
-def test_lines(spark, rows, witnesses, monkeypatch):
+@pytest.mark.parametrize(("witnesses", "large"), [(4, 4096), (1, 4096), (2, 2)])
+def test_lines(spark, rows, witnesses, large, monkeypatch):
     monkeypatch.setattr(line_dedup, "WITNESSES", witnesses)
     monkeypatch.setattr(line_dedup, "KEPT", witnesses)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     got = {r.doc_id: sorted(r.lines) for r in line_dedup.removed_lines(docs).collect()}
     want = brute.line_removals(rows)

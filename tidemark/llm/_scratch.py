@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,4 +48,6 @@ def release_shuffles(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first run finds unreachable may hold more
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

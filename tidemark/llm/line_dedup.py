@@ -13,6 +13,10 @@ order of the tokens gives the same pairs, so collisions cost time and never resu
 One earlier similar line is enough. The earlier candidate with the nearest parity map is
 verified first, then the other candidates at hand, then, for lines that are still open and
 had more than were kept, all the rest. So no match is lost and no group emits all its pairs.
+
+The texts are read three times (counters, prefix entries, token sets of candidates) and never
+shuffled before the lines are removed. Token sets to fetch are known by a bit map of
+``BITS`` bits; bits that are set by chance fetch a set that nothing asks for.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,10 @@ SKETCH = 1 << 22
 WITNESSES, KEPT = 4, 8
 #: Prefix entries that one task reads, on average.
 TASK_ENTRIES = 500_000
+#: Entries of a token from which its lines are compared in order of occurrence, until they have enough.
+LARGE = 4096
+#: Size of the map of wanted token sets.
+BITS = 1 << 26
 #: Unresolved lines that one further round takes.
 ROUND_LINES = 500_000
 U = np.uint64
@@ -56,8 +65,6 @@ class Lines:
         line_start, _, line_text = piece.lines()
         first_line = np.searchsorted(line_text, np.arange(piece.n))
         tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
-        #: the counter of every word, repeats included
-        self.words = (tokens & U(SKETCH - 1)).astype(np.int64)
         owner = np.searchsorted(line_start, start, "right") - 1
         order = np.argsort(tokens)
         order = order[_stable(owner[order])]
@@ -86,40 +93,43 @@ class Lines:
         return np.bitwise_xor.reduceat(U(1) << (mix(self.tokens) >> U(58)), self.first)
 
 
-def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """(set, doc_id, line, size) of every line with enough distinct tokens, and the tokens' counters.
-
-    Rows with line -1 are counters of this task: ``set`` is the counter and ``size`` its count.
-    """
+def _summed(parts: DataFrame, kind: str, merge: np.ufunc, slices: int) -> np.ndarray:
+    """The merge of all tables of (slice int, part binary), slice by slice: at most ``slices`` parts meet in a task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SKETCH, dtype=np.int32)
+        whole: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch.column(1)):
-                lines = Lines(piece, least)
-                np.add.at(table, lines.words, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(lines.set.view(np.int64)), batch.column(0).take(pa.array(piece.first + lines.text)),
-                        pa.array(lines.number.astype(np.int32)), pa.array(lines.size.astype(np.int32)),
-                    ],
-                    ["set", "doc_id", "line", "size"],
-                )
-        seen = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.nulls(len(seen), pa.int64()), pa.array(np.full(len(seen), -1, dtype=np.int32)), pa.array(table[seen])], ["set", "doc_id", "line", "size"]
-        )
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zstandard.decompress(part.as_buffer()), dtype=kind)
+                whole[name] = merge(whole[name], own) if name in whole else own.copy()
+        names = sorted(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([zstandard.compress(whole[n].tobytes(), 1) for n in names], pa.binary())], ["slice", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "set long, doc_id long, line int, size int")
+    found = parts.repartition(slices, "slice").mapInArrow(apply, "slice int, part binary").toArrow().sort_by("slice")
+    if not len(found):
+        return np.zeros(0, dtype=kind)
+    return np.concatenate([np.frombuffer(zstandard.decompress(x.as_buffer()), dtype=kind) for x in found.column("part")])
 
 
-def rarity_table(table: DataFrame) -> np.ndarray:
-    """The counters of a :func:`line_table`, summed and saturated at 65535."""
-    counts = table.filter("line = -1").groupBy(F.col("set").cast("int").alias("bucket")).agg(F.least(F.sum("size"), F.lit(65535)).cast("int").alias("n"))
-    counts = counts.filter("n > 1").toArrow()
-    out = np.ones(SKETCH, dtype=np.uint16)
-    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return out
+def _sliced(table: np.ndarray, slices: int) -> pa.RecordBatch:
+    parts = [zstandard.compress(x.tobytes(), 1) for x in np.split(table, slices)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array(parts, pa.binary())], ["slice", "part"])
+
+
+def count_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashed token counts of all texts, saturated at 65535, and the number of tokens."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                start, end, _ = piece.ranges(WORD[piece.data])
+                tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
+                np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
+        yield _sliced(table, 64)
+
+    table = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), "<i8", np.add, 64)
+    return np.clip(table, 1, 65535).astype(np.uint16) if len(table) else np.ones(SKETCH, dtype=np.uint16), int(table.sum())
 
 
 def prefix_length(size: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -148,8 +158,8 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
 
 
 def _first_of_each(entries: np.ndarray) -> np.ndarray:
-    """One entry of each (token, set), that of the first occurrence, of tokens with two sets or more; by token, then place."""
-    key = (entries["token"].astype(U) << U(32)) | (entries["set"] >> U(32))
+    """One entry of each (token, set), that of the first occurrence, of tokens with two sets or more; by token, then size."""
+    key = _pair(entries["token"], entries["set"] >> U(32))
     entries = entries[np.argsort(key)]
     same = np.zeros(len(entries) + 1, dtype=bool)
     same[1:-1] = (entries["token"][1:] == entries["token"][:-1]) & (entries["set"][1:] == entries["set"][:-1])
@@ -159,101 +169,152 @@ def _first_of_each(entries: np.ndarray) -> np.ndarray:
     first = np.ones(len(part), dtype=bool)
     first[1:] = (part["token"][1:] != part["token"][:-1]) | (part["set"][1:] != part["set"][:-1])
     entries = np.concatenate([entries[~several], part[first]])
-    entries = entries[np.argsort(_spot(entries["token"], entries["place"]))]
+    entries = entries[np.argsort(_pair(entries["token"], entries["size"]))]
     token = entries["token"]
     apart = np.ones(len(entries) + 1, dtype=bool)
     apart[1:-1] = token[1:] != token[:-1]
     return entries[~(apart[1:] & apart[:-1])]
 
 
-def _spot(token: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (token.astype(U) << U(32)) | place.astype(U)
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(U) << U(32)) | low.astype(U)
 
 
-def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of entry numbers that pass all filters, and whether the later had more.
+class Filters:
+    """The filters of a pair of entries of one token.
 
-    ``entries`` are sorted by token and place. Each entry gets its first ``limit`` candidates;
-    ``only`` marks the entries to find candidates for. At the first token that two sets
-    share, everything before it in either is not shared, so its two places add up to no more
-    than the sets may differ. An entry is compared with the entries of its token whose
-    place leaves that possible, step by step and for all tokens at once, until it has enough.
+    At the first token that two sets share, all before it in either is not shared, so its
+    two places add up to no more than the sets may differ; similar sets meet there at least.
     """
-    n = len(entries)
-    size, place, parity = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["parity"].copy()
-    name, token = entries["set"].copy(), entries["token"]
-    rank = np.empty(n, dtype=np.int64)
-    rank[np.lexsort((entries["line"], entries["doc"]))] = np.arange(n)
-    key = _spot(token, place)
-    t, u = threshold.numerator, threshold.denominator
-    # a partner has at most size * u / t tokens, so the sets differ in at most this many
-    most = size + size * u // t - 2 * (-(-size * t // u))
-    live = np.flatnonzero((most >= place) if only is None else (most >= place) & only)
-    stop = np.searchsorted(key, _spot(token[live], (most - place)[live]), "right")
-    other = np.searchsorted(key, _spot(token[live], np.zeros(len(live), np.int64)), "left")
-    have = np.zeros(n, dtype=np.int64)
-    later, earlier, more = [], [], np.zeros(n, dtype=bool)
-    going = other < stop
-    live, other, stop = live[going], other[going], stop[going]
-    while len(live):
-        a, b = size[live], size[other]
+
+    def __init__(self, entries: np.ndarray, threshold: Fraction):
+        self.size, self.place = entries["size"].astype(np.int64), entries["place"].astype(np.int64)
+        self.parity, self.name = entries["parity"].copy(), entries["set"].copy()
+        self.t, self.u = threshold.numerator, threshold.denominator
+        self.rank = np.empty(len(entries), dtype=np.int64)
+        order = np.lexsort((entries["line"], entries["doc"]))
+        at = np.ones(len(entries), dtype=np.int64)
+        at[1:] = (entries["doc"][order][1:] != entries["doc"][order][:-1]) | (entries["line"][order][1:] != entries["line"][order][:-1])
+        self.rank[order] = np.cumsum(at)
+
+    def passed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = self.size[x], self.size[y]
         # overlap o has J >= t iff o * (t + u) >= t * (a + b)
-        needed = -(-t * (a + b) // (t + u))
+        needed = -(-self.t * (a + b) // (self.t + self.u))
         apart = a + b - 2 * needed
-        ok = (rank[other] < rank[live]) & (np.bitwise_count(parity[live] ^ parity[other]) <= apart)
-        ok &= (b * u >= a * t) & (a * u >= b * t) & (place[live] + place[other] <= apart)
-        ok &= np.minimum(a - place[live], b - place[other]) >= needed
-        ok &= name[live] != name[other]
-        x, y = live[ok], other[ok]
-        have[x] += 1
+        near = np.flatnonzero(np.bitwise_count(self.parity[x] ^ self.parity[y]) <= apart)
+        x, y, a, b, needed, apart = x[near], y[near], a[near], b[near], needed[near], apart[near]
+        ok = (b * self.u >= a * self.t) & (a * self.u >= b * self.t) & (self.place[x] + self.place[y] <= apart)
+        ok &= (np.minimum(a - self.place[x], b - self.place[y]) >= needed) & (self.name[x] != self.name[y]) & (self.rank[x] != self.rank[y])
+        return near[ok]
+
+
+def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of entry numbers that pass all filters, and whether the later had more than ``limit``.
+
+    ``entries`` are those of :func:`_first_of_each`; ``only`` marks the entries to find
+    candidates for. Tokens of few entries compare each entry with the smaller ones of a
+    size that can be similar; tokens of many compare it with the earlier ones, in order of
+    occurrence, until it has enough. Steps run over all tokens at once.
+    """
+    n = len(entries)
+    f = Filters(entries, threshold)
+    token, every = entries["token"], np.arange(n)
+    begin = np.searchsorted(token, token, "left")
+    large = np.searchsorted(token, token, "right") - begin > LARGE
+    have, more = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        if only is not None:
+            x, y = x[only[x]], y[only[x]]
+        np.add.at(have, x, 1)
         if limit is not None:
             over = have[x] > limit
             more[x[over]] = True
             x, y = x[~over], y[~over]
         later.append(x)
         earlier.append(y)
+
+    live = np.flatnonzero(~large)
+    key = _pair(token, f.size)
+    other = np.searchsorted(key, _pair(token[live], -(-f.size[live] * f.t // f.u)), "left")
+    going = other < live
+    live, other = live[going], other[going]
+    while len(live):
+        hit = f.passed(live, other)
+        x, y = live[hit], other[hit]
+        turn = f.rank[x] < f.rank[y]
+        keep(np.where(turn, y, x), np.where(turn, x, y))
         other = other + 1
-        going = (other < stop) & ~more[live]
-        live, other, stop = live[going], other[going], stop[going]
-    none = [np.zeros(0, np.int64)]
-    x, y = np.concatenate(none + later), np.concatenate(none + earlier)
-    real = (entries["doc"][x] != entries["doc"][y]) | (entries["line"][x] != entries["line"][y])
-    return x[real], y[real], more
+        going = other < live
+        live, other = live[going], other[going]
+
+    every = np.flatnonzero(large)
+    every = every[np.lexsort((f.rank[every], token[every]))]
+    live = np.arange(len(every))
+    if only is not None:
+        live = live[only[every]]
+    other = np.searchsorted(token[every], token[every[live]], "left")
+    going = other < live
+    live, other = live[going], other[going]
+    while len(live):
+        hit = f.passed(every[live], every[other])
+        x, y = every[live[hit]], every[other[hit]]
+        keep(x, y)
+        other = other + 1
+        going = (other < live) & ~more[every[live]]
+        live, other = live[going], other[going]
+    return np.concatenate(later), np.concatenate(earlier), more
 
 
-PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean"
+PAIR = "x long, y long, apart int, more boolean"
 
 
-def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences.
+def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, shards: int) -> DataFrame:
+    """Two kinds of rows: lines (set, doc_id, line, size), and packed prefix entries (shard, n, entries)."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    names = ["set", "doc_id", "line", "size", "shard", "n", "entries"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
-    ``apart`` is the distance of the parity maps, ``more`` marks lines with candidates beyond
-    ``limit``. Prefix entries travel as packed arrays, one row for each task and shard.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((rarity, only))
-    shards = 4 * tasks
+    def rows(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for piece in pieces(batch.column(1)):
                 lines = Lines(piece, least)
-                held.append(entries_of(lines, ids[piece.first + lines.text].astype(np.int64), shared.value[0], threshold))
+                doc = ids[piece.first + lines.text]
+                yield rows({"set": lines.set.view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32), "size": lines.size.astype(np.int32)})
+                held.append(entries_of(lines, doc, shared.value, threshold))
                 size += len(held[-1])
                 if size > 1_000_000:
-                    yield _dealt(held, shards)
+                    yield rows(_dealt(held, shards))
                     held, size = [], 0
         if size:
-            yield _dealt(held, shards)
+            yield rows(_dealt(held, shards))
+
+    return docs.select("doc_id", "text").mapInArrow(apply, "set long, doc_id long, line int, size int, shard int, n int, entries binary")
+
+
+def candidate_pairs(packed: DataFrame, threshold: Fraction, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """Candidate pairs of token sets, ``x`` the later one.
+
+    ``packed``: shard, entries. ``apart`` is the distance of the parity maps, ``more`` marks
+    lines with candidates beyond ``limit``.
+    """
+    shared = packed.sparkSession.sparkContext.broadcast(only)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
+        blobs = [_unpacked(x) for batch in batches for x in batch.column(1).to_pylist()]
         if not blobs:
             return
         entries = _first_of_each(np.concatenate(blobs))
         del blobs
-        chosen = shared.value[1]
+        chosen = shared.value
         x, y, more = candidates(entries, threshold, limit, None if chosen is None else np.isin(entries["set"], chosen))
         later, earlier = entries[x], entries[y]
         _, one = np.unique(mix(later["set"]) ^ earlier["set"], return_index=True)
@@ -262,66 +323,77 @@ def candidate_pairs(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, le
         flag = np.isin(later["set"], flagged)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(earlier["doc"]),
+                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)),
                 pa.array(np.bitwise_count(later["parity"] ^ earlier["parity"]).astype(np.int32)), pa.array(flag),
             ],
-            ["x", "y", "x_doc", "y_doc", "apart", "more"],
+            ["x", "y", "apart", "more"],
         )
 
-    packed = docs.select("doc_id", "text").mapInArrow(split, "shard int, entries binary").repartition(tasks, "shard")
-    return packed.mapInArrow(join, PAIR)
+    return packed.select("shard", "entries").repartition(tasks, "shard").mapInArrow(join, PAIR)
 
 
 def _packed(entries: np.ndarray) -> bytes:
-    """The entries field by field, which compresses better than row by row."""
-    return b"".join(entries[name].tobytes() for name in ENTRY.names)
+    """The entries by token, field by field, compressed."""
+    entries = entries[np.argsort(entries["token"])]
+    fields = {name: entries[name] for name in ENTRY.names}
+    fields["token"] = np.diff(fields["token"], prepend=np.uint32(0))
+    return zstandard.compress(b"".join(fields[name].tobytes() for name in ENTRY.names), 1)
 
 
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    n, at = data.size // ENTRY.itemsize, 0
+def _unpacked(data: bytes) -> np.ndarray:
+    data = zstandard.decompress(data)
+    n, at = len(data) // ENTRY.itemsize, 0
     out = np.empty(n, dtype=ENTRY)
     for name in ENTRY.names:
         kind = ENTRY[name]
         out[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
         at += n * kind.itemsize
+    out["token"] = np.cumsum(out["token"], dtype=np.uint32)
     return out
 
 
-def _dealt(held: list[np.ndarray], shards: int) -> pa.RecordBatch:
+def _dealt(held: list[np.ndarray], shards: int) -> dict:
     entries = np.concatenate(held)
     shard = entries["token"] % shards
     order = _stable(shard)
     entries, shard = entries[order], shard[order]
     name, first = np.unique(shard, return_index=True)
-    blobs = [_packed(entries[a:b]) for a, b in zip(first, np.append(first[1:], len(entries)), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "entries"])
+    ends = np.append(first[1:], len(entries))
+    return {"shard": name.astype(np.int32), "n": (ends - first).astype(np.int32), "entries": [_packed(entries[a:b]) for a, b in zip(first, ends, strict=True)]}
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(set, tokens binary) of the wanted (set, doc, line)."""
-    lists = wanted.groupBy("doc").agg(F.collect_set("set").alias("sets"))
-    rows = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("doc")).select("sets", "text")
+def _bits(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spread = mix(sets.view(U))
+    return (spread & U(BITS - 1)).astype(np.int64), ((spread >> U(32)) & U(BITS - 1)).astype(np.int64)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(set, tokens binary) of both ends of the pairs (x, y), each once, and of a few others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BITS, dtype=bool)
         for batch in batches:
-            sets, tokens = [], []
-            for piece in pieces(batch.column(1)):
-                lines = Lines(piece, least)
-                asked = batch.column(0)[piece.first : piece.first + piece.n]
-                owner = np.repeat(np.arange(piece.n), asked.value_lengths().to_numpy())
-                names = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                for i in np.flatnonzero(np.isin(mix(lines.set ^ mix(lines.text)), mix(names ^ mix(owner)))):
-                    sets.append(lines.set[i])
-                    tokens.append(lines.tokens[lines.first[i] : lines.first[i] + lines.size[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(sets, dtype=U).view(np.int64)), pa.array(tokens, pa.binary())], ["set", "tokens"])
+            for column in batch.columns:
+                for bit in _bits(column.to_numpy(zero_copy_only=False).astype(np.int64)):
+                    table[bit] = True
+        yield _sliced(np.packbits(table), 64)
 
-    return rows.mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"])
+    wanted = _summed(pairs.select("x", "y").mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or, 64)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted if len(wanted) else np.zeros(BITS // 8, dtype=np.uint8))
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                lines = Lines(piece, least)
+                a, b = _bits(lines.set.view(np.int64))
+                asked = np.flatnonzero((table[a >> 3] << (a & 7) & 128 > 0) & (table[b >> 3] << (b & 7) & 128 > 0))
+                _, one = np.unique(lines.set[asked], return_index=True)
+                asked = asked[one]
+                tokens = [lines.tokens[i : i + n].tobytes() for i, n in zip(lines.first[asked].tolist(), lines.size[asked].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.set[asked].view(np.int64)), pa.array(tokens, pa.binary())], ["set", "tokens"])
 
-def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """(set, tokens) of both ends of the pairs (x, x_doc, y, y_doc)."""
-    ends = pairs.select(F.col("x").alias("set"), F.col("x_doc").alias("doc")).union(pairs.select("y", "y_doc")).distinct()
-    return stored(_token_sets(docs, ends, least), "sets")
+    return stored(docs.select("text").mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"]), "sets")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -352,23 +424,22 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     spark = docs.sparkSession
     share = Fraction(threshold)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    table = stored(line_table(rows, least), "lines")
-    lines = table.filter("line >= 0")
-    total = lines.agg(F.sum(F.floor(F.col("size") * (1 - float(share))) + 1)).head()[0] or 0
-    tasks = max(1, math.ceil(total / TASK_ENTRIES))
-    rarity = rarity_table(table)
+    rarity, tokens = count_tokens(rows)
+    shards = 4 * max(1, math.ceil(tokens * (1.2 - float(share)) / TASK_ENTRIES))
+    table = stored(line_table(rows, rarity, share, least, shards), "lines")
+    lines, packed = table.filter("shard IS NULL").select("set", "doc_id", "line"), table.filter("shard IS NOT NULL")
+    tasks = max(1, math.ceil((packed.agg(F.sum("n")).head()[0] or 0) / TASK_ENTRIES))
     found = []
 
     def verify(pairs: DataFrame, sets: DataFrame) -> None:
         found.append(stored(similar_pairs(pairs, sets, share).select("x").distinct(), "similar"))
         release_shuffles(spark)
 
-    first_pairs = candidate_pairs(rows, rarity, share, least, tasks, WITNESSES)
-    others = F.collect_set(F.struct("apart", "y", "y_doc"))
-    kept = first_pairs.groupBy("x").agg(F.first("x_doc").alias("x_doc"), F.sort_array(others).alias("ys"), F.max("more").alias("more"))
-    kept = stored(kept.select("x", "x_doc", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
+    others = F.collect_set(F.struct("apart", "y"))
+    kept = candidate_pairs(packed, share, tasks, WITNESSES).groupBy("x").agg(F.sort_array(others).alias("ys"), F.max("more").alias("more"))
+    kept = stored(kept.select("x", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
     release_shuffles(spark)
-    pair = lambda df, ys: df.select("x", "x_doc", F.explode(ys).alias("p")).select("x", "x_doc", "p.y", "p.y_doc")
+    pair = lambda df, ys: df.select("x", F.explode(ys).alias("p")).select("x", "p.y")
     sets = sets_of(rows, pair(kept, F.col("ys")), least)
     verify(pair(kept, F.slice("ys", 1, 1)), sets)
     left = kept.filter(F.size("ys") > 1).join(found[0], "x", "left_anti")
@@ -377,7 +448,7 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     rounds = math.ceil(open_sets.count() / ROUND_LINES)
     for i in range(rounds):
         part = open_sets.filter(F.pmod(F.xxhash64("x"), F.lit(rounds)) == i).toArrow().column("x").to_numpy().view(U)
-        rest = stored(candidate_pairs(rows, rarity, share, least, tasks, only=np.sort(part)).dropDuplicates(["x", "y"]), "pairs")
+        rest = stored(candidate_pairs(packed, share, tasks, only=np.sort(part)).dropDuplicates(["x", "y"]), "pairs")
         verify(rest, sets_of(rows, rest, least))
     similar = found[0]
     for more in found[1:]:

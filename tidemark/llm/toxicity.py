@@ -144,8 +144,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: DataFrame, label_col
     part = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_unlabelled / max(n, 1)))
     confirmed = docs.join(F.broadcast(toxic), "doc_id")
     rows = confirmed.select("doc_id", "positive", "text").unionByName(train.filter(part).select("doc_id", F.lit(False).alias("positive"), "text"))
-    table = _bucket_lists(rows).toPandas().sort_values("doc_id", kind="stable")
-    lists = {flag: [np.asarray(x, dtype=np.int64) for x in table["buckets"][table["positive"] == flag]] for flag in (True, False)}
+    table = _bucket_lists(rows).toArrow().sort_by("doc_id").combine_chunks()
+    lists: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    if len(table):
+        buckets = table.column("buckets").chunk(0)
+        values, offsets = buckets.values.to_numpy(), buckets.offsets.to_numpy()
+        for flag, start, end in zip(table.column("positive").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            lists[flag].append(values[start:end])
     return fit_weights(lists[True], lists[False], share if share is not None else 0.1)
 
 
