@@ -27,6 +27,7 @@ def test_substrings(spark, rows):
 def test_lines(spark, rows, witnesses, large, monkeypatch):
     monkeypatch.setattr(line_dedup, "WITNESSES", witnesses)
     monkeypatch.setattr(line_dedup, "KEPT", witnesses)
+    monkeypatch.setattr(line_dedup, "OTHERS", 1)
     monkeypatch.setattr(line_dedup, "LARGE", large)
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     got = {r.doc_id: sorted(r.lines) for r in line_dedup.removed_lines(docs).collect()}

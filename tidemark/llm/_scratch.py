@@ -31,16 +31,18 @@ def write_table(df: DataFrame, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    spark = df.sparkSession
-    schema = df.schema
-    return spark.read.schema(schema).parquet(write_table(df, name))
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`write_table`."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    path = write_table(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and that no later plan reads."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(table.tidemark_path)
+        target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -31,13 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import release_shuffles, stored
+from ._scratch import discard, release_shuffles, stored
 from ._text import BYTE, LOWER, WORD, Piece, mix, pieces, range_hash, running
 
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
-#: Candidates that a shared token gives a line, and that a line keeps in all, before the last round.
-WITNESSES, KEPT = 4, 8
+#: Candidates that a shared token gives a line before the last round: with one that looks similar at hand, and else.
+WITNESSES, OTHERS = 4, 1024
+#: Candidates that a line keeps in all before the last round.
+KEPT = 4096
 #: Prefix entries that one task reads, on average.
 TASK_ENTRIES = 500_000
 #: Entries of a token from which its lines are compared in order of occurrence, until they have enough.
@@ -197,6 +199,11 @@ class Filters:
         at[1:] = (entries["doc"][order][1:] != entries["doc"][order][:-1]) | (entries["line"][order][1:] != entries["line"][order][:-1])
         self.rank[order] = np.cumsum(at)
 
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many tokens two similar sets of these sizes differ at most."""
+        whole = self.size[x] + self.size[y]
+        return whole - 2 * -(-self.t * whole // (self.t + self.u))
+
     def passed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         a, b = self.size[x], self.size[y]
         # overlap o has J >= t iff o * (t + u) >= t * (a + b)
@@ -214,8 +221,10 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
 
     ``entries`` are those of :func:`_first_of_each`; ``only`` marks the entries to find
     candidates for. Tokens of few entries compare each entry with the smaller ones of a
-    size that can be similar; tokens of many compare it with the earlier ones, in order of
-    occurrence, until it has enough. Steps run over all tokens at once.
+    size that can be similar, and keep the nearest by their parity maps: ``limit`` of them if the
+    nearest differs in half the bits it may at most, else ``OTHERS``. Tokens of many entries
+    compare each with the earlier ones, in order of occurrence, until it has ``limit``. Steps
+    run over all tokens at once.
     """
     n = len(entries)
     f = Filters(entries, threshold)
@@ -225,17 +234,6 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
     have, more = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
-        if only is not None:
-            x, y = x[only[x]], y[only[x]]
-        np.add.at(have, x, 1)
-        if limit is not None:
-            over = have[x] > limit
-            more[x[over]] = True
-            x, y = x[~over], y[~over]
-        later.append(x)
-        earlier.append(y)
-
     live = np.flatnonzero(~large)
     key = _pair(token, f.size)
     other = np.searchsorted(key, _pair(token[live], -(-f.size[live] * f.t // f.u)), "left")
@@ -245,11 +243,25 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
         hit = f.passed(live, other)
         x, y = live[hit], other[hit]
         turn = f.rank[x] < f.rank[y]
-        keep(np.where(turn, y, x), np.where(turn, x, y))
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        wanted = slice(None) if only is None else only[x]
+        later.append(x[wanted])
+        earlier.append(y[wanted])
         other = other + 1
         going = other < live
         live, other = live[going], other[going]
 
+    if limit is not None:
+        x, y = np.concatenate(later), np.concatenate(earlier)
+        distance = np.bitwise_count(f.parity[x] ^ f.parity[y]).astype(np.int64)
+        order = np.lexsort((distance, x))
+        x, y, distance = x[order], y[order], distance[order]
+        first = np.searchsorted(x, x, "left")
+        near = 2 * distance[first] <= f.apart(x[first], y[first])
+        over = np.arange(len(x)) - first >= np.where(near, limit, max(limit, OTHERS))
+        more[x[over]] = True
+        later, earlier = [x[~over]], [y[~over]]
+
     every = np.flatnonzero(large)
     every = every[np.lexsort((f.rank[every], token[every]))]
     live = np.arange(len(every))
@@ -261,7 +273,13 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
     while len(live):
         hit = f.passed(every[live], every[other])
         x, y = every[live[hit]], every[other[hit]]
-        keep(x, y)
+        have[x] += 1
+        if limit is not None:
+            over = have[x] > limit
+            more[x[over]] = True
+            x, y = x[~over], y[~over]
+        later.append(x)
+        earlier.append(y)
         other = other + 1
         going = (other < live) & ~more[every[live]]
         live, other = live[going], other[going]
@@ -450,14 +468,18 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
         part = open_sets.filter(F.pmod(F.xxhash64("x"), F.lit(rounds)) == i).toArrow().column("x").to_numpy().view(U)
         rest = stored(candidate_pairs(packed, share, tasks, only=np.sort(part)).dropDuplicates(["x", "y"]), "pairs")
         verify(rest, sets_of(rows, rest, least))
+    discard(sets, kept, open_sets)
     similar = found[0]
     for more in found[1:]:
         similar = similar.union(more)
     similar = similar.distinct().select(F.col("x").alias("set"), F.lit(True).alias("similar"))
-    first = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(similar, "set", "left")
-    first = stored(first, "first")
+    first = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")).join(similar, "set", "left")
+    first = stored(first.filter("times > 1 OR similar"), "first")
     gone = lines.join(first, "set").filter(F.col("similar").isNotNull() | (F.struct("doc_id", "line") > F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    out = stored(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "removed")
+    discard(table, first, *found)
+    release_shuffles(spark)
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> DataFrame:
@@ -469,7 +491,7 @@ def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Data
     empty table gives an empty result. A column named n_lines_removed is replaced.
     """
     docs = docs.drop("n_lines_removed")
-    removed = stored(removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"}), "removed")
+    removed = removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
     rows = docs.join(removed, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
     split = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_tidemark_lines", i)), "\n")

@@ -67,6 +67,16 @@ FROM numbers JOIN {docs} d ON d.rowid = r, unnest(range(1, copies + 1)) AS x(cop
 """
 SQL["op6_mix_sources"] = "WITH docs AS (SELECT *, row_number() OVER () AS rowid FROM documents), " + _MIX.format(docs="docs")
 
+SQL["op10_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS s FROM (SELECT *, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+hit AS (SELECT r, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS f FROM win) WHERE f < doc_id),
+gone AS (SELECT r, list(DISTINCT q) AS g FROM (SELECT r, unnest(generate_series(p, p + 49)) AS q FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import release_shuffles, stored
+from ._scratch import discard, release_shuffles, stored
 from ._text import BYTE, WORD, Piece, mix, pieces, range_hash, running, windows
 
 #: Words of passages in one automaton, on average, and words streamed through one task of it.
@@ -300,6 +300,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     own = anchors.select("unit", "anchor").join(recurring, "anchor").groupBy("unit").agg(F.collect_list("anchor").alias("anchors"))
     own = stored(units.select("unit", "doc_id", "sha").join(own, "unit"), "anchors")
     texts = stored(candidate_windows(rows.join(own, "doc_id"), size).dropDuplicates(["unit"]), "candidates")
+    discard(recurring, own)
     release_shuffles(spark)
 
     seen = texts.select("unit", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("unit", "doc_id", "w.places", "w.hashes")
@@ -308,6 +309,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     again = stored(again, "again")
     links = seen.join(again, "hash").groupBy("unit", "doc_id", "first").agg(F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("place"))).alias("places"))
     links = stored(links, "links")
+    discard(again)
     release_shuffles(spark)
 
     slim = texts.select("unit", "doc_id", "text")
@@ -315,6 +317,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     release_shuffles(spark)
     spans = found.groupBy("unit").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cleaned = stored(remove(slim.join(spans, "unit")), "cleaned")
+    discard(texts, links, found)
 
     keys = units.select("unit", F.col("doc_id").alias("unit_doc"), F.col("sha").alias("unit_sha")).join(cleaned, "unit")
     out = described.select("doc_id", "n_words", "sha").join(firsts.withColumnRenamed("sha", "first_sha"), F.col("sha") == F.col("first_sha"), "left")
