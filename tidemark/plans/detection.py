@@ -158,7 +158,7 @@ def basket_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes("points", body="""
-SELECT match_id, checkpoint, p, floor(greatest(0.5, liquidity * least(0.05::DOUBLE, p * 10 / 200)))::BIGINT AS stake, ceil(checkpoint / 0.04)::BIGINT AS least_bankroll,
+SELECT match_id, checkpoint, p, floor(greatest(0.5, round(liquidity * least(0.05::DOUBLE, p * 10 / 200), 2)))::BIGINT AS stake, ceil(checkpoint / 0.04)::BIGINT AS least_bankroll,
   round(CASE WHEN p * (1.5 + 1) - 1 <= 0 THEN 0 ELSE least((p * (1.5 + 1) - 1) / 1.5 * 0.25, 0.1) END, 6) AS kelly, round(p * p * (1 + 2 * (1 - p)), 6) AS best_of_three FROM points WHERE match_id % 20 = 0""")
 )
 def sizing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
