@@ -4,7 +4,7 @@ A line's tokens are its distinct words (A-Z lower-cased), ordered from the rares
 frequent. Two lines with Jaccard similarity t share a token among the first
 n - ceil(t * n) + 1 tokens of each (prefix filter), have sizes within a factor t (length
 filter), leave enough tokens after a shared position (positional filter), and differ in so few
-tokens that 64-bit parity maps of theirs differ in no more bits. Pairs that pass are
+tokens that 128-bit parity maps of theirs differ in no more bits. Pairs that pass are
 verified on the whole token sets. A line is removed if an earlier line is similar.
 
 Rarity is a Spark-summed table of ``SKETCH`` hashed counters over all texts: every total
@@ -37,7 +37,7 @@ from ._text import BYTE, LOWER, WORD, Piece, mix, pieces, range_hash, running
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
 #: Candidates that a shared token gives a line before the last round: with one that looks similar at hand, and else.
-WITNESSES, OTHERS = 4, 1024
+WITNESSES, OTHERS = 64, 1024
 #: Candidates that a line keeps in all before the last round.
 KEPT = 4096
 #: Prefix entries that one task reads, on average.
@@ -51,7 +51,7 @@ ROUND_LINES = 500_000
 U = np.uint64
 
 #: One prefix token of one line: the token, the line's token set, its first occurrence, ...
-ENTRY = np.dtype([("token", "<u4"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4")])
+ENTRY = np.dtype([("token", "<u4"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u8"), ("parity2", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 
 
 def _stable(key: np.ndarray) -> np.ndarray:
@@ -88,11 +88,13 @@ class Lines:
     def __len__(self) -> int:
         return len(self.size)
 
-    def parity(self) -> np.ndarray:
-        """64-bit maps: bit b is the parity of the tokens that hash to b."""
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit maps, as two words: bit b is the parity of the tokens that hash to b."""
         if not len(self):
-            return np.zeros(0, U)
-        return np.bitwise_xor.reduceat(U(1) << (mix(self.tokens) >> U(58)), self.first)
+            return np.zeros(0, U), np.zeros(0, U)
+        spread = mix(self.tokens)
+        bit, low = U(1) << (spread >> U(58)), (spread >> U(57)) & U(1) == 0
+        return np.bitwise_xor.reduceat(np.where(low, bit, U(0)), self.first), np.bitwise_xor.reduceat(np.where(low, U(0), bit), self.first)
 
 
 def _summed(parts: DataFrame, kind: str, merge: np.ufunc, slices: int) -> np.ndarray:
@@ -154,7 +156,8 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
     out = np.empty(len(order), dtype=ENTRY)
     out["token"] = mix(lines.tokens[order]) >> U(32)
     out["size"], out["place"] = lines.size[owner], place
-    out["parity"], out["set"] = lines.parity()[owner], lines.set[owner]
+    first, second = lines.parity()
+    out["parity"], out["parity2"], out["set"] = first[owner], second[owner], lines.set[owner]
     out["doc"], out["line"] = doc[owner], lines.number[owner]
     return out
 
@@ -191,7 +194,7 @@ class Filters:
 
     def __init__(self, entries: np.ndarray, threshold: Fraction):
         self.size, self.place = entries["size"].astype(np.int64), entries["place"].astype(np.int64)
-        self.parity, self.name = entries["parity"].copy(), entries["set"].copy()
+        self.parity, self.parity2, self.name = entries["parity"].copy(), entries["parity2"].copy(), entries["set"].copy()
         self.t, self.u = threshold.numerator, threshold.denominator
         self.rank = np.empty(len(entries), dtype=np.int64)
         order = np.lexsort((entries["line"], entries["doc"]))
@@ -199,6 +202,10 @@ class Filters:
         at[1:] = (entries["doc"][order][1:] != entries["doc"][order][:-1]) | (entries["line"][order][1:] != entries["line"][order][:-1])
         self.rank[order] = np.cumsum(at)
 
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the parity maps differ: no more than the sets do in tokens."""
+        return (np.bitwise_count(self.parity[x] ^ self.parity[y]) + np.bitwise_count(self.parity2[x] ^ self.parity2[y])).astype(np.int64)
+
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """In how many tokens two similar sets of these sizes differ at most."""
         whole = self.size[x] + self.size[y]
@@ -210,6 +217,7 @@ class Filters:
         needed = -(-self.t * (a + b) // (self.t + self.u))
         apart = a + b - 2 * needed
         near = np.flatnonzero(np.bitwise_count(self.parity[x] ^ self.parity[y]) <= apart)
+        near = near[self.distance(x[near], y[near]) <= apart[near]]
         x, y, a, b, needed, apart = x[near], y[near], a[near], b[near], needed[near], apart[near]
         ok = (b * self.u >= a * self.t) & (a * self.u >= b * self.t) & (self.place[x] + self.place[y] <= apart)
         ok &= (np.minimum(a - self.place[x], b - self.place[y]) >= needed) & (self.name[x] != self.name[y]) & (self.rank[x] != self.rank[y])
@@ -253,7 +261,7 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
 
     if limit is not None:
         x, y = np.concatenate(later), np.concatenate(earlier)
-        distance = np.bitwise_count(f.parity[x] ^ f.parity[y]).astype(np.int64)
+        distance = f.distance(x, y)
         order = np.lexsort((distance, x))
         x, y, distance = x[order], y[order], distance[order]
         first = np.searchsorted(x, x, "left")
@@ -286,7 +294,7 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
     return np.concatenate(later), np.concatenate(earlier), more
 
 
-PAIR = "x long, y long, apart int, more boolean"
+PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean"
 
 
 def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, shards: int) -> DataFrame:
@@ -319,7 +327,7 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least:
 
 
 def candidate_pairs(packed: DataFrame, threshold: Fraction, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """Candidate pairs of token sets, ``x`` the later one.
+    """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences.
 
     ``packed``: shard, entries. ``apart`` is the distance of the parity maps, ``more`` marks
     lines with candidates beyond ``limit``.
@@ -341,10 +349,10 @@ def candidate_pairs(packed: DataFrame, threshold: Fraction, tasks: int, limit: i
         flag = np.isin(later["set"], flagged)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)),
-                pa.array(np.bitwise_count(later["parity"] ^ earlier["parity"]).astype(np.int32)), pa.array(flag),
+                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(earlier["doc"]),
+                pa.array((np.bitwise_count(later["parity"] ^ earlier["parity"]) + np.bitwise_count(later["parity2"] ^ earlier["parity2"])).astype(np.int32)), pa.array(flag),
             ],
-            ["x", "y", "apart", "more"],
+            ["x", "y", "x_doc", "y_doc", "apart", "more"],
         )
 
     return packed.select("shard", "entries").repartition(tasks, "shard").mapInArrow(join, PAIR)
@@ -386,7 +394,10 @@ def _bits(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """(set, tokens binary) of both ends of the pairs (x, y), each once, and of a few others."""
+    """(set, tokens binary) of both ends of the pairs (x, y, x_doc, y_doc), each once, and of a few others.
+
+    Only the documents where the pairs' ends first stand are read line by line.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BITS, dtype=bool)
@@ -396,22 +407,29 @@ def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
                     table[bit] = True
         yield _sliced(np.packbits(table), 64)
 
-    wanted = _summed(pairs.select("x", "y").mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or, 64)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted if len(wanted) else np.zeros(BITS // 8, dtype=np.uint8))
+    def marked(*columns: str) -> np.ndarray:
+        found = _summed(pairs.select(*columns).mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or, 64)
+        return found if len(found) else np.zeros(BITS // 8, dtype=np.uint8)
+
+    shared = docs.sparkSession.sparkContext.broadcast((marked("x", "y"), marked("x_doc", "y_doc")))
+
+    def asked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        a, b = _bits(values)
+        return (table[a >> 3] << (a & 7) & 128 > 0) & (table[b >> 3] << (b & 7) & 128 > 0)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        sets, documents = shared.value
         for batch in batches:
-            for piece in pieces(batch.column(0)):
+            batch = batch.filter(pa.array(asked(documents, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            for piece in pieces(batch.column(1)):
                 lines = Lines(piece, least)
-                a, b = _bits(lines.set.view(np.int64))
-                asked = np.flatnonzero((table[a >> 3] << (a & 7) & 128 > 0) & (table[b >> 3] << (b & 7) & 128 > 0))
-                _, one = np.unique(lines.set[asked], return_index=True)
-                asked = asked[one]
-                tokens = [lines.tokens[i : i + n].tobytes() for i, n in zip(lines.first[asked].tolist(), lines.size[asked].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.set[asked].view(np.int64)), pa.array(tokens, pa.binary())], ["set", "tokens"])
+                wanted = np.flatnonzero(asked(sets, lines.set.view(np.int64)))
+                _, one = np.unique(lines.set[wanted], return_index=True)
+                wanted = wanted[one]
+                tokens = [lines.tokens[i : i + n].tobytes() for i, n in zip(lines.first[wanted].tolist(), lines.size[wanted].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.set[wanted].view(np.int64)), pa.array(tokens, pa.binary())], ["set", "tokens"])
 
-    return stored(docs.select("text").mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"]), "sets")
+    return stored(docs.select("doc_id", "text").mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"]), "sets")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -453,11 +471,11 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
         found.append(stored(similar_pairs(pairs, sets, share).select("x").distinct(), "similar"))
         release_shuffles(spark)
 
-    others = F.collect_set(F.struct("apart", "y"))
-    kept = candidate_pairs(packed, share, tasks, WITNESSES).groupBy("x").agg(F.sort_array(others).alias("ys"), F.max("more").alias("more"))
-    kept = stored(kept.select("x", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
+    others = F.collect_set(F.struct("apart", "y", "y_doc"))
+    kept = candidate_pairs(packed, share, tasks, WITNESSES).groupBy("x").agg(F.first("x_doc").alias("x_doc"), F.sort_array(others).alias("ys"), F.max("more").alias("more"))
+    kept = stored(kept.select("x", "x_doc", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
     release_shuffles(spark)
-    pair = lambda df, ys: df.select("x", F.explode(ys).alias("p")).select("x", "p.y")
+    pair = lambda df, ys: df.select("x", "x_doc", F.explode(ys).alias("p")).select("x", "x_doc", "p.y", "p.y_doc")
     sets = sets_of(rows, pair(kept, F.col("ys")), least)
     verify(pair(kept, F.slice("ys", 1, 1)), sets)
     left = kept.filter(F.size("ys") > 1).join(found[0], "x", "left_anti")
