@@ -54,14 +54,22 @@ def records(long: DataFrame, last: int) -> DataFrame:
 
 
 def past_matches(wanted: DataFrame, long: DataFrame, last: int) -> DataFrame:
-    """The ``last`` matches of each wanted (match_id, team, as_of) before its instant, itself left out.
+    """The ``last`` matches of each wanted (match_id, team, as_of) up to its instant, itself left out.
 
-    Teams meet in long form, on equality; the disjunction of two sides never becomes a join condition.
+    A team's matches are numbered in time order, and the wanted instant is counted into that
+    order; then each wanted row meets only the ``last + 1`` numbers before its own, by equality.
     """
-    past = long.select(F.col("match_id").alias("past_id"), "team", "other", "won", "resolved_at")
-    pairs = wanted.join(past, "team").filter((F.col("resolved_at") <= F.col("as_of")) & (F.col("past_id") != F.col("match_id")))
-    spot = Window.partitionBy("match_id", "team").orderBy(F.col("resolved_at").desc(), F.col("past_id").desc())
-    return pairs.withColumn("r", F.row_number().over(spot)).filter(F.col("r") <= last)
+    order = Window.partitionBy("team").orderBy("resolved_at", "match_id")
+    numbered = long.withColumn("r", F.row_number().over(order)).select("team", "r", F.col("match_id").alias("past_id"), "other", "won", "resolved_at")
+    marks = wanted.select("team", "match_id", F.col("as_of").alias("t"), F.lit(1).alias("kind")).unionByName(
+        long.select("team", F.lit(None).cast("long").alias("match_id"), F.col("resolved_at").alias("t"), F.lit(0).alias("kind"))
+    )
+    upto = Window.partitionBy("team").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.withColumn("c", F.sum(1 - F.col("kind")).over(upto).cast("int")).filter("kind = 1 AND c > 0")
+    near = counted.select("team", "match_id", F.explode(F.sequence(F.greatest(F.col("c") - last, F.lit(1)), F.col("c"))).alias("r"))
+    pairs = near.join(numbered, ["team", "r"]).filter(F.col("past_id") != F.col("match_id"))
+    spot = Window.partitionBy("match_id", "team").orderBy(F.col("r").desc())
+    return pairs.withColumn("place", F.row_number().over(spot)).filter(F.col("place") <= last)
 
 
 def head_to_head(long: DataFrame) -> DataFrame:

@@ -159,12 +159,12 @@ def basket_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_ctes("points", body="""
 SELECT match_id, checkpoint, p, floor(greatest(0.5, round(liquidity * least(0.05::DOUBLE, p * 10 / 200), 2)))::BIGINT AS stake, ceil(checkpoint / 0.04)::BIGINT AS least_bankroll,
-  round(CASE WHEN p * (1.5 + 1) - 1 <= 0 THEN 0 ELSE least((p * (1.5 + 1) - 1) / 1.5 * 0.25, 0.1) END, 6) AS kelly, round(p * p * (1 + 2 * (1 - p)), 6) AS best_of_three FROM points WHERE match_id % 20 = 0""")
+  round(CASE WHEN p * (1.5 + 1) - 1 <= 0 THEN 0 ELSE least((p * (1.5 + 1) - 1) / 1.5 * 0.25, 0.1) END, 6) AS kelly, round(p * p * (1 + 2 * (1 - p)), 6) AS best_of_three FROM points""")
 )
 def sizing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-19, D-21, E-39."""
     p = F.col("p")
-    return points(spark, sf_dir).filter("match_id % 20 = 0").select(
+    return points(spark, sf_dir).select(
         "match_id", "checkpoint", "p", F.floor(sizing.stake(F.col("liquidity"), p * 10, 0.05)).alias("stake"), sizing.least_bankroll(F.col("checkpoint"), 0.1, 0.4).alias("least_bankroll"),
         F.round(sizing.kelly(p, F.lit(1.5), 0.25, 0.1), 6).alias("kelly"), F.round(sizing.series_probability(p, 2), 6).alias("best_of_three"),
     )
