@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 18
+PIECE = 1 << 17
 U = np.uint64
 #: Odd multiplier of the running polynomial and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -72,6 +72,14 @@ WORD = ~byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Maps A-Z to a-z and leaves other bytes alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The hash values of bytes, A-Z as a-z.
+LOWERED = BYTE[LOWER]
+
+
+def owners(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of the sorted places, the number of the last sorted start that is not beyond it."""
+    first = np.searchsorted(places, starts)
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(first, len(places))))
 
 
 class Piece:
@@ -96,17 +104,19 @@ class Piece:
         if not n:
             none = np.zeros(0, dtype=np.int64)
             return none, none, none
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[self.offsets] = True
-        before = np.empty(n, dtype=bool)
-        before[0] = False
-        before[1:] = inside[:-1]
-        after = np.empty(n, dtype=bool)
-        after[-1] = False
-        after[:-1] = inside[1:]
-        start = np.flatnonzero(inside & (~before | edge[:-1]))
-        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        return start, end, np.searchsorted(self.offsets, start, "right") - 1
+        turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        opens = inside[turn]
+        start, end = turn[opens], turn[~opens]
+        if inside[0]:
+            start = np.concatenate([[0], start])
+        if inside[-1]:
+            end = np.concatenate([end, [n]])
+        # a run that goes on over the border of two texts is cut there
+        border = np.unique(self.offsets[(self.offsets > 0) & (self.offsets < n)])
+        border = border[inside[border - 1] & inside[border]]
+        if len(border):
+            start, end = np.sort(np.concatenate([start, border]), kind="stable"), np.sort(np.concatenate([end, border]), kind="stable")
+        return start, end, owners(start, self.offsets[:-1])
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All lines between line feeds, empty ones too: starts, ends, text numbers."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import release_shuffles, stored
-from ._text import BYTE, LOWER, WORD, Piece, pieces, range_hash, running
+from ._text import LOWER, LOWERED, WORD, Piece, pieces, range_hash, running
 
 #: Words that are units of their own.
 UNITS = 1024
@@ -44,7 +44,7 @@ def words_of(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, suffix bucket and text of each word, A-Z as a-z."""
     start, end, text = piece.ranges(WORD[piece.data])
     data = LOWER[piece.data]
-    hashes = range_hash(running(BYTE[data]), start, end)
+    hashes = range_hash(running(LOWERED[piece.data]), start, end)
     last = data[end - 1].astype(np.int64)
     before = np.where(end - start > 1, data[end - 2], 0).astype(np.int64)
     third = np.where(end - start > 2, data[end - 3], 0).astype(np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import discard, release_shuffles, stored
-from ._text import BYTE, LOWER, WORD, Piece, mix, pieces, range_hash, running
+from ._text import LOWERED, WORD, Piece, mix, owners, pieces, range_hash, running
 
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
@@ -41,7 +41,7 @@ WITNESSES, OTHERS = 64, 1024
 #: Candidates that a line keeps in all before the last round.
 KEPT = 4096
 #: Prefix entries that one task reads, on average.
-TASK_ENTRIES = 500_000
+TASK_ENTRIES = 200_000
 #: Entries of a token from which its lines are compared in order of occurrence, until they have enough.
 LARGE = 4096
 #: Size of the map of wanted token sets.
@@ -66,8 +66,8 @@ class Lines:
         start, end, _ = piece.ranges(WORD[piece.data])
         line_start, _, line_text = piece.lines()
         first_line = np.searchsorted(line_text, np.arange(piece.n))
-        tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
-        owner = np.searchsorted(line_start, start, "right") - 1
+        tokens = range_hash(running(LOWERED[piece.data]), start, end)
+        owner = owners(start, line_start)
         order = np.argsort(tokens)
         order = order[_stable(owner[order])]
         tokens, owner = tokens[order], owner[order]
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 start, end, _ = piece.ranges(WORD[piece.data])
-                tokens = range_hash(running(BYTE[LOWER[piece.data]]), start, end)
+                tokens = range_hash(running(LOWERED[piece.data]), start, end)
                 np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
         yield _sliced(table, 64)
 
@@ -317,7 +317,7 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least:
                 yield rows({"set": lines.set.view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32), "size": lines.size.astype(np.int32)})
                 held.append(entries_of(lines, doc, shared.value, threshold))
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 500_000:
                     yield rows(_dealt(held, shards))
                     held, size = [], 0
         if size:

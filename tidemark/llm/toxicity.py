@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BYTE, LOWER, Piece, byte_set, pieces, range_hash, running
+from ._text import LOWERED, Piece, byte_set, pieces, range_hash, running
 from .rule_ensemble import labelled_sample
 
 #: Words are hashed into so many buckets.
@@ -30,7 +30,7 @@ def token_buckets(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of letters and digits, A-Z as a-z.
     """
     start, end, text = piece.ranges(_LETTER[piece.data])
-    sums = running(BYTE[LOWER[piece.data]])
+    sums = running(LOWERED[piece.data])
     hashes, owners = [range_hash(sums, start, end)], [text]
     for size in (4, 5):
         long = end - start > size
