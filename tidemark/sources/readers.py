@@ -23,7 +23,7 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def markdown_blocks(spark: SparkSession, path: str, pattern: str, group: int = 1) -> DataFrame:
     """(path, place, block): every match of the pattern in whole text files."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return files.select("path", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), group)).alias("place", "block"))
 
 
