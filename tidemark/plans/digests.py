@@ -15,7 +15,7 @@ FAMILY = Family()
 query = FAMILY.query
 
 _N = r"lower(regexp_replace(trim({}), '\s+', ' ', 'g'))"
-_BASE = f"""WITH ev AS (SELECT doc_id AS event_id, sha256(text) AS sha, n_chars * 10.0 AS liquidity, text FROM documents),
+_BASE = f"""WITH ev AS (SELECT doc_id AS event_id, sha256(text) AS sha, n_chars * 10.0::DOUBLE AS liquidity, text FROM documents),
 fi AS (SELECT doc_id AS event_id, sha256(text) AS sha, CASE doc_id % 3 WHEN 0 THEN 'trap' WHEN 1 THEN 'contradiction' ELSE 'ambiguity' END AS kind, substr(text, 1, 80) AS passage,
   CASE WHEN doc_id % 3 = 1 THEN substr(text, 41, 80) END AS conflict, (doc_id % 4 + 1)::INT AS reading, CASE WHEN doc_id % 5 = 0 THEN 'grave' ELSE 'detail' END AS severity, CASE WHEN doc_id % 2 = 0 THEN 'scenario' END AS scenario
   FROM documents WHERE doc_id % 10 < 7),
@@ -122,12 +122,12 @@ def finding_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS tokens, round(sum((n_chars * 0.3 + doc_id % 100 * 1.2) / 1000000), 6) AS cost, round(median(n_chars), 1) AS median_size FROM documents GROUP BY source
+SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS tokens, round(sum(n_chars * 0.3::DOUBLE + doc_id % 100 * 1.2::DOUBLE), 1) AS micro_cost, round(median(n_chars), 1) AS median_size FROM documents GROUP BY source
 """)
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-52, F-33."""
     spent = cost(F.col("n_chars"), F.col("doc_id") % 100, 0.3, 1.2)
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("tokens"), F.round(F.sum(spent), 6).alias("cost"), F.round(F.median("n_chars"), 1).alias("median_size"))
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("tokens"), F.round(F.sum(spent) * 1_000_000, 1).alias("micro_cost"), F.round(F.median("n_chars"), 1).alias("median_size"))
 
 
 @query(_BASE + _BY_EVENT + """

@@ -187,7 +187,7 @@ def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes("points", body="""
-SELECT version, count(*) AS n, sum(y) AS hits, round(CASE WHEN count(*) = 0 THEN 0 ELSE greatest(0, (r + z * z / (2 * c) - z * sqrt(r * (1 - r) / c + z * z / (4 * c * c))) / (1 + z * z / c)) END, 6) AS low,
+SELECT version, count(*) AS n, sum(y)::BIGINT AS hits, round(CASE WHEN count(*) = 0 THEN 0 ELSE greatest(0, (r + z * z / (2 * c) - z * sqrt(r * (1 - r) / c + z * z / (4 * c * c))) / (1 + z * z / c)) END, 6) AS low,
   round(least(1, (r + z * z / (2 * c) + z * sqrt(r * (1 - r) / c + z * z / (4 * c * c))) / (1 + z * z / c)), 6) AS high
 FROM (SELECT version, y, avg(y) OVER (PARTITION BY version) AS r, count(*) OVER (PARTITION BY version) AS c, 1.959964 AS z FROM points) GROUP BY version, r, c, z""")
 )

@@ -25,7 +25,7 @@ CTE["quotes"] = """quotes AS (
     CASE WHEN k % 10 <> 0 THEN round(value / 500 - 0.01, 4) END AS bid,
     CASE WHEN k % 10 <> 1 THEN round(value / 500 + 0.01, 4) END AS ask,
     CASE WHEN k % 10 NOT IN (0, 1) THEN round(value / 500, 4) END AS mid,
-    round(value * 100, 2) AS volume_24h, k * 1000.0 AS liquidity, event_id AS seq
+    round(value * 100, 2) AS volume_24h, k * 1000.0::DOUBLE AS liquidity, event_id AS seq
   FROM (SELECT *, (props->>'k')::INT AS k FROM events)
 )"""
 
