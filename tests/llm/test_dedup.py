@@ -23,7 +23,7 @@ def test_substrings(spark, rows):
     assert sum(x[1] for x in want.values()) > 1000
 
 
-@pytest.mark.parametrize(("witnesses", "large"), [(4, 4096), (1, 4096), (2, 2)])
+@pytest.mark.parametrize(("witnesses", "large"), [(64, 4096), (2, 2)])
 def test_lines(spark, rows, witnesses, large, monkeypatch):
     monkeypatch.setattr(line_dedup, "WITNESSES", witnesses)
     monkeypatch.setattr(line_dedup, "KEPT", witnesses)

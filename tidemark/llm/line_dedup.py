@@ -97,8 +97,8 @@ class Lines:
         return np.bitwise_xor.reduceat(np.where(low, bit, U(0)), self.first), np.bitwise_xor.reduceat(np.where(low, U(0), bit), self.first)
 
 
-def _summed(parts: DataFrame, kind: str, merge: np.ufunc, slices: int) -> np.ndarray:
-    """The merge of all tables of (slice int, part binary), slice by slice: at most ``slices`` parts meet in a task."""
+def _summed(parts: DataFrame, kind: str, merge: np.ufunc) -> np.ndarray:
+    """The merge of all tables of (slice int, part binary): tasks take whole slices and hold one sum of each."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
@@ -109,7 +109,7 @@ def _summed(parts: DataFrame, kind: str, merge: np.ufunc, slices: int) -> np.nda
         names = sorted(whole)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([zstandard.compress(whole[n].tobytes(), 1) for n in names], pa.binary())], ["slice", "part"])
 
-    found = parts.repartition(slices, "slice").mapInArrow(apply, "slice int, part binary").toArrow().sort_by("slice")
+    found = parts.repartition("slice").mapInArrow(apply, "slice int, part binary").toArrow().sort_by("slice")
     if not len(found):
         return np.zeros(0, dtype=kind)
     return np.concatenate([np.frombuffer(zstandard.decompress(x.as_buffer()), dtype=kind) for x in found.column("part")])
@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
                 np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
         yield _sliced(table, 64)
 
-    table = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), "<i8", np.add, 64)
+    table = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), "<i8", np.add)
     return np.clip(table, 1, 65535).astype(np.uint16) if len(table) else np.ones(SKETCH, dtype=np.uint16), int(table.sum())
 
 
@@ -408,7 +408,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
         yield _sliced(np.packbits(table), 64)
 
     def marked(*columns: str) -> np.ndarray:
-        found = _summed(pairs.select(*columns).mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or, 64)
+        found = _summed(pairs.select(*columns).mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or)
         return found if len(found) else np.zeros(BITS // 8, dtype=np.uint8)
 
     shared = docs.sparkSession.sparkContext.broadcast((marked("x", "y"), marked("x_doc", "y_doc")))
