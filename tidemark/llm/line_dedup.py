@@ -294,14 +294,14 @@ def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only
     return np.concatenate(later), np.concatenate(earlier), more
 
 
-PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean"
+LINE = "shard int, entries binary, set long, doc_id long, line int"
 
 
-def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, shards: int) -> DataFrame:
-    """Two kinds of rows: lines (set, doc_id, line, size), and packed prefix entries (shard, n, entries)."""
+def line_rows(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, shards: int) -> DataFrame:
+    """Two kinds of rows, dealt to shards: packed prefix entries (shard, entries), and lines (shard, set, doc_id, line)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    names = ["set", "doc_id", "line", "size", "shard", "n", "entries"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["shard", "entries", "set", "doc_id", "line"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def rows(columns: dict) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -314,7 +314,8 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least:
             for piece in pieces(batch.column(1)):
                 lines = Lines(piece, least)
                 doc = ids[piece.first + lines.text]
-                yield rows({"set": lines.set.view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32), "size": lines.size.astype(np.int32)})
+                shard = (lines.set % U(shards)).astype(np.int32)
+                yield rows({"shard": shard, "set": lines.set.view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32)})
                 held.append(entries_of(lines, doc, shared.value, threshold))
                 size += len(held[-1])
                 if size > 500_000:
@@ -323,19 +324,32 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least:
         if size:
             yield rows(_dealt(held, shards))
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "set long, doc_id long, line int, size int, shard int, n int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(apply, LINE)
 
 
-def candidate_pairs(packed: DataFrame, threshold: Fraction, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences.
+PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean, line int"
 
-    ``packed``: shard, entries. ``apart`` is the distance of the parity maps, ``more`` marks
-    lines with candidates beyond ``limit``.
+
+def candidate_pairs(rows: DataFrame, threshold: Fraction, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences; and the lines.
+
+    ``rows`` are :func:`line_rows`. ``apart`` is the distance of the parity maps, ``more`` marks
+    lines with candidates beyond ``limit``. A row with ``line`` is a line: its set is ``x``, its
+    document ``x_doc``.
     """
-    shared = packed.sparkSession.sparkContext.broadcast(only)
+    shared = rows.sparkSession.sparkContext.broadcast(only)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
+    names = ["x", "y", "x_doc", "y_doc", "apart", "more", "line"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [_unpacked(x) for batch in batches for x in batch.column(1).to_pylist()]
+        blobs = []
+        for batch in batches:
+            is_line = batch.column(4).is_valid()
+            lines = batch.filter(is_line)
+            if len(lines):
+                columns = {"x": lines.column(2), "x_doc": lines.column(3), "line": lines.column(4)}
+                yield pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(len(lines), k)) for n, k in zip(names, kinds, strict=True)], names)
+            blobs += [_unpacked(x) for x in batch.filter(batch.column(4).is_null()).column(1).to_pylist()]
         if not blobs:
             return
         entries = _first_of_each(np.concatenate(blobs))
@@ -346,16 +360,16 @@ def candidate_pairs(packed: DataFrame, threshold: Fraction, tasks: int, limit: i
         _, one = np.unique(mix(later["set"]) ^ earlier["set"], return_index=True)
         flagged = np.unique(later["set"][more[x]])
         later, earlier = later[one], earlier[one]
-        flag = np.isin(later["set"], flagged)
+        apart = np.bitwise_count(later["parity"] ^ earlier["parity"]) + np.bitwise_count(later["parity2"] ^ earlier["parity2"])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(earlier["doc"]),
-                pa.array((np.bitwise_count(later["parity"] ^ earlier["parity"]) + np.bitwise_count(later["parity2"] ^ earlier["parity2"])).astype(np.int32)), pa.array(flag),
+                pa.array(apart.astype(np.int32)), pa.array(np.isin(later["set"], flagged)), pa.nulls(len(later), pa.int32()),
             ],
-            ["x", "y", "x_doc", "y_doc", "apart", "more"],
+            names,
         )
 
-    return packed.select("shard", "entries").repartition(tasks, "shard").mapInArrow(join, PAIR)
+    return rows.repartition(tasks, "shard").mapInArrow(join, PAIR)
 
 
 def _packed(entries: np.ndarray) -> bytes:
@@ -385,7 +399,7 @@ def _dealt(held: list[np.ndarray], shards: int) -> dict:
     entries, shard = entries[order], shard[order]
     name, first = np.unique(shard, return_index=True)
     ends = np.append(first[1:], len(entries))
-    return {"shard": name.astype(np.int32), "n": (ends - first).astype(np.int32), "entries": [_packed(entries[a:b]) for a, b in zip(first, ends, strict=True)]}
+    return {"shard": name.astype(np.int32), "entries": [_packed(entries[a:b]) for a, b in zip(first, ends, strict=True)]}
 
 
 def _bits(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -461,10 +475,11 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     share = Fraction(threshold)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     rarity, tokens = count_tokens(rows)
-    shards = 4 * max(1, math.ceil(tokens * (1.2 - float(share)) / TASK_ENTRIES))
-    table = stored(line_table(rows, rarity, share, least, shards), "lines")
-    lines, packed = table.filter("shard IS NULL").select("set", "doc_id", "line"), table.filter("shard IS NOT NULL")
-    tasks = max(1, math.ceil((packed.agg(F.sum("n")).head()[0] or 0) / TASK_ENTRIES))
+    tasks = max(1, math.ceil(tokens * (1.2 - float(share)) / (2 * TASK_ENTRIES)))
+    rows_of = lambda only=None: candidate_pairs(line_rows(rows, rarity, share, least, 4 * tasks), share, tasks, WITNESSES if only is None else None, only)
+    table = stored(rows_of(), "lines")
+    release_shuffles(spark)
+    lines, first_pairs = table.filter("line IS NOT NULL").select(F.col("x").alias("set"), F.col("x_doc").alias("doc_id"), "line"), table.filter("line IS NULL")
     found = []
 
     def verify(pairs: DataFrame, sets: DataFrame) -> None:
@@ -472,7 +487,7 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
         release_shuffles(spark)
 
     others = F.collect_set(F.struct("apart", "y", "y_doc"))
-    kept = candidate_pairs(packed, share, tasks, WITNESSES).groupBy("x").agg(F.first("x_doc").alias("x_doc"), F.sort_array(others).alias("ys"), F.max("more").alias("more"))
+    kept = first_pairs.groupBy("x").agg(F.first("x_doc").alias("x_doc"), F.sort_array(others).alias("ys"), F.max("more").alias("more"))
     kept = stored(kept.select("x", "x_doc", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
     release_shuffles(spark)
     pair = lambda df, ys: df.select("x", "x_doc", F.explode(ys).alias("p")).select("x", "x_doc", "p.y", "p.y_doc")
@@ -484,7 +499,7 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     rounds = math.ceil(open_sets.count() / ROUND_LINES)
     for i in range(rounds):
         part = open_sets.filter(F.pmod(F.xxhash64("x"), F.lit(rounds)) == i).toArrow().column("x").to_numpy().view(U)
-        rest = stored(candidate_pairs(packed, share, tasks, only=np.sort(part)).dropDuplicates(["x", "y"]), "pairs")
+        rest = stored(rows_of(np.sort(part)).filter("line IS NULL").dropDuplicates(["x", "y"]), "pairs")
         verify(rest, sets_of(rows, rest, least))
     discard(sets, kept, open_sets)
     similar = found[0]
