@@ -525,7 +525,8 @@ def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Data
     """
     docs = docs.drop("n_lines_removed")
     removed = removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
-    rows = docs.join(removed, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
+    # always a merge join: what is removed grows with the documents, so the plan must not change with its size
+    rows = docs.join(removed.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
     split = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_tidemark_lines", i)), "\n")
     # rows that share a doc_id may be shorter than the removed numbers say
