@@ -527,9 +527,11 @@ def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Data
     removed = removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
     # always a merge join: what is removed grows with the documents, so the plan must not change with its size
     rows = docs.join(removed.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_tidemark_lines", i)), "\n")
+    gone = F.col("_tidemark_lines")
+    rows = rows.withColumn("_tidemark_split", F.when(gone.isNotNull(), F.split("text", "\n", -1)))
+    kept = F.array_join(F.filter("_tidemark_split", lambda _, i: ~F.array_contains(gone, i)), "\n")
     # rows that share a doc_id may be shorter than the removed numbers say
-    count = F.when(F.col("_tidemark_lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("_tidemark_lines", lambda i: i < F.size(split))))
-    text = F.when(F.col("_tidemark_lines").isNull(), F.col("text")).otherwise(kept)
-    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop("_tidemark_doc", "_tidemark_lines")
+    count = F.coalesce(F.size(F.filter(gone, lambda i: i < F.size("_tidemark_split"))), F.lit(0))
+    count = F.when(F.col("_tidemark_split").isNull(), 0).otherwise(count)
+    text = F.when(F.col("_tidemark_split").isNull(), F.col("text")).otherwise(kept)
+    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop("_tidemark_doc", "_tidemark_lines", "_tidemark_split")
