@@ -290,7 +290,7 @@ def repeated_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), "text")
     described = stored(describe(rows, size), "described")
     whole = described.filter(F.col("n_words") >= size)
-    firsts = whole.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    firsts = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
     units = whole.join(firsts, "sha").filter("doc_id = first").dropDuplicates(["doc_id", "sha"])
     units = stored(units.select("doc_id", "sha", "anchors").withColumn("unit", F.monotonically_increasing_id()), "units")
 
