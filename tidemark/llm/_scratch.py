@@ -7,6 +7,10 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The column that :func:`with_row_key` adds.
+ROW = "_tidemark_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the long ``ROW``: another one for every row, in the order of doc_id, nulls first.
+
+    Where every row has a doc_id of its own that is the key. Else the rows are written once,
+    sorted by doc_id and a hash of the text, and numbered as they are written.
+    """
+    key = F.col("doc_id").cast("long")
+    if not docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1 OR key IS NULL").head(1):
+        return docs.withColumn(ROW, key)
+    ordered = docs.orderBy(key.asc_nulls_first(), F.xxhash64("text"))
+    return stored(ordered.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`stored` wrote and that no later plan reads."""
     for table in tables:

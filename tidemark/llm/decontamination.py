@@ -96,29 +96,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, lookups
 
     ``hits`` are the places (start, length) of exact window matches, by start. A word inside
     any of them is hit. Null and empty texts have no words, and such items no windows. Rows that
-    share a doc_id each get their own matches; a null doc_id matches nothing by index, so
-    such rows are looked up under a key of their own. Repeated items count once per item_id, and a
+    share a doc_id, or have none, each get their own matches. Repeated items count once per item_id, and a
     null item_id is left out of the item list. Empty tables give no matches. Other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs = docs.select("doc_id", "text", key.alias("key"))
+    rows = with_candidates(docs.select("doc_id", "text"), benchmark, size, lookups)
+    return matched(rows.select("doc_id", words(F.col("text")).alias("words"), F.col("_tidemark_at").alias("at")), size)
+
+
+def with_candidates(docs: DataFrame, benchmark: DataFrame, size: int, lookups: int) -> DataFrame:
+    """The rows of ``docs`` with _tidemark_at: by benchmark item, where its windows may stand in the row's text."""
+    # rows that clash in this hash share their candidates, which are compared in each row's own text
+    docs = docs.withColumn("_tidemark_key", F.xxhash64("doc_id", "text"))
     items = stored(test_items(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
     windows = test_windows(items, size)
-    tokens = tokens_of(docs.select(F.col("key").alias("doc_id"), words(F.col("text")).alias("words")))
+    tokens = tokens_of(docs.select(F.col("_tidemark_key").alias("doc_id"), words(F.col("text")).alias("words")))
     counts = stored(term_counts(tokens, items.select(F.explode("words").alias("term")).distinct()), "terms")
     lookup = stored(rarest_terms(windows, counts, lookups), "lookups")
     index = stored(postings(tokens, lookup.select("term")), "postings")
     # windows of one item that begin on one diagonal are one candidate passage
     passages = (
         phrase_starts(index, lookup)
-        .groupBy(F.col("doc_id").alias("key"), "item", (F.col("start") - F.col("at")).alias("diagonal"))
+        .groupBy(F.col("doc_id").alias("_tidemark_key"), "item", (F.col("start") - F.col("at")).alias("diagonal"))
         .agg(F.collect_list("at").alias("ats"))
         .join(items, "item")
     )
-    found = passages.groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "ats", F.col("words").alias("item_words"))).alias("at"))
+    found = passages.groupBy("_tidemark_key").agg(F.collect_list(F.struct("item_id", "diagonal", "ats", F.col("words").alias("item_words"))).alias("_tidemark_at"))
     # always a merge join: the candidates grow with the documents, so the plan must not change with their size
-    rows = docs.join(stored(found, "passages").hint("merge"), "key", "left")
-    return matched(rows.select("doc_id", words(F.col("text")).alias("words"), "at"), size)
+    return docs.join(stored(found, "passages").hint("merge"), "_tidemark_key", "left").drop("_tidemark_key")
 
 
 def matched(rows: DataFrame, size: int) -> DataFrame:
@@ -156,5 +160,11 @@ def matched(rows: DataFrame, size: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, lookups: int = 2) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark stands, all columns as they were."""
-    hit = contamination(docs, benchmark, size, lookups).filter("contaminated").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_tidemark_hit"))
-    return docs.join(hit.distinct(), F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == F.col("_tidemark_hit"), "left_anti")
+    rows = with_candidates(docs, benchmark, size, lookups).withColumn("_tidemark_words", words(F.col("text")))
+
+    def hit(a: Column) -> Column:
+        length = F.least(F.lit(size), F.size(a["item_words"]))
+        return F.exists(a["ats"], lambda o: F.slice("_tidemark_words", a["diagonal"] + o + 1, length) == F.slice(a["item_words"], o + 1, size))
+
+    clean = ~F.coalesce(F.exists("_tidemark_at", hit), F.lit(False))
+    return rows.filter(clean).select(*docs.columns)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import discard, release_shuffles, stored
+from ._scratch import ROW, discard, release_shuffles, stored, with_row_key
 from ._text import LOWERED, WORD, Piece, mix, owners, pieces, range_hash, running
 
 #: Counters of the rarity table, 2 bytes each.
@@ -520,18 +520,18 @@ def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Data
 
     Lines are what stands between line feeds. Lines with fewer than ``least`` distinct words
     always stay. Texts that lose nothing are unchanged, null texts too; a text may become
-    empty. Null doc_ids come first in the order of lines. Repeated rows give repeated rows. An
+    empty. Null doc_ids come first in the order of lines. Rows that share a doc_id, or
+    have none, are rows of their own, in a fixed order. An
     empty table gives an empty result. A column named n_lines_removed is replaced.
     """
-    docs = docs.drop("n_lines_removed")
-    removed = removed_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
+    docs = with_row_key(docs.drop("n_lines_removed"))
+    removed = removed_lines(docs.select(F.col(ROW).alias("doc_id"), "text"), threshold, least)
+    removed = removed.withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
     # always a merge join: what is removed grows with the documents, so the plan must not change with its size
-    rows = docs.join(removed.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_tidemark_doc"), "left")
+    rows = docs.join(removed.hint("merge"), F.col(ROW) == F.col("_tidemark_doc"), "left")
     gone = F.col("_tidemark_lines")
     rows = rows.withColumn("_tidemark_split", F.when(gone.isNotNull(), F.split("text", "\n", -1)))
     kept = F.array_join(F.filter("_tidemark_split", lambda _, i: ~F.array_contains(gone, i)), "\n")
-    # rows that share a doc_id may be shorter than the removed numbers say
-    count = F.coalesce(F.size(F.filter(gone, lambda i: i < F.size("_tidemark_split"))), F.lit(0))
-    count = F.when(F.col("_tidemark_split").isNull(), 0).otherwise(count)
+    count = F.when(F.col("_tidemark_split").isNull(), 0).otherwise(F.size(gone))
     text = F.when(F.col("_tidemark_split").isNull(), F.col("text")).otherwise(kept)
-    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop("_tidemark_doc", "_tidemark_lines", "_tidemark_split")
+    return rows.withColumn("n_lines_removed", count).withColumn("text", text).drop(ROW, "_tidemark_doc", "_tidemark_lines", "_tidemark_split")
