@@ -25,7 +25,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
     return simhash.keep_one_of_each(docs, shingle=5)
 
 

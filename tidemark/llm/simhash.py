@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import release_shuffles, stored
-from ._text import LOWER, WORD, pieces
+from . import shingle_pairs
+from ._scratch import ROW, release_shuffles, stored, with_row_key
+from ._text import LOWER, WORD, Piece, pieces
 
 #: Fingerprints of one shard chunk.
 CHUNK = 2048
@@ -46,17 +47,20 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprints(piece: Piece, shingle: int) -> np.ndarray:
+    """The fingerprint of each text of a piece, as signed integers."""
+    data = np.where(WORD[piece.data], LOWER[piece.data], 32).astype(np.uint8).tobytes()
+    offsets = piece.offsets.tolist()
+    return np.array([fingerprint(data[a:b].split(), shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.uint64).view(np.int64)
+
+
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id long, fp long): the fingerprint of every whole text; null texts as empty."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[int] = []
-            for piece in pieces(batch.column(1)):
-                data = np.where(WORD[piece.data], LOWER[piece.data], 32).astype(np.uint8).tobytes()
-                offsets = piece.offsets.tolist()
-                out += [fingerprint(data[a:b].split(), shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            out = [fingerprints(piece, shingle) for piece in pieces(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(apply, "doc_id long, fp long")
 
@@ -247,11 +251,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, threshold: str = "0.8") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group one row, with the smallest doc_id, stays.
 
-    All columns are as they were. Of rows that share this doc_id too, all stay.
+    Rows are linked if their fingerprints differ in at most ``radius`` bits or if their sets of
+    shingles have at least the threshold's Jaccard similarity. All columns are as they were. Rows
+    that share a doc_id, or have none, are rows of their own; null doc_ids come first.
     """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_tidemark_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_tidemark_gone"), "left_anti")
+    docs = with_row_key(docs)
+    rows = docs.select(F.col(ROW).alias("node"), "text")
+    marked = shingle_pairs.add_sets(rows, shingle)
+    classes = stored(marked.groupBy("fp", "set").agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "classes")
+    by_fp = stored(classes.groupBy("fp").agg(F.min("node").alias("low")), "distinct")
+    worded = classes.filter(F.size("bands") > 0)
+    by_set = stored(worded.groupBy("set").agg(F.min("node").alias("low"), F.first("bands").alias("bands")), "sets")
+    near = fingerprint_links(by_fp.select("fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(by_fp.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low")), end)
+    parts = [
+        near.select(F.col("a_low").alias("a"), F.col("b_low").alias("b")),
+        classes.join(by_fp, "fp").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")),
+        worded.join(by_set.select("set", "low"), "set").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")),
+        shingle_pairs.similar_links(rows, by_set.select(F.col("low").alias("node"), "bands"), shingle, threshold),
+    ]
+    links = stored(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "links")
+    release_shuffles(docs.sparkSession)
+    stay = classes.join(components(links), "node", "left").filter("root IS NULL OR root = node")
+    return docs.join(stay.select(F.col("node").alias("_tidemark_stay")), F.col(ROW) == F.col("_tidemark_stay"), "left_semi").drop(ROW)
