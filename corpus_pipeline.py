@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier line go; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    cleaned = line_dedup.dedup_lines(docs, least=1).withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.select(*docs.columns)
 
 

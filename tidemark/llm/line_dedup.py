@@ -150,6 +150,8 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
     order = order[_stable(lines.owner[order])]
     place = np.arange(len(order)) - lines.first[lines.owner]
     chosen = place < np.where(repeat, 0, prefix_length(lines.size, threshold))[lines.owner]
+    # sets so small that only equal ones are similar enough meet by their hash alone
+    chosen &= (lines.size * threshold.denominator >= threshold.numerator * (lines.size + 1))[lines.owner]
     chosen &= rank[order] > 1  # a counter of 1 is a token that no other line has
     order, place = order[chosen], place[chosen]
     owner = lines.owner[order]

@@ -37,7 +37,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    docs = line_dedup.dedup_lines(_documents(spark, sf_dir), least=1)
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     lines = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1)
     return docs.select("doc_id", "n_lines_removed", lines.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
