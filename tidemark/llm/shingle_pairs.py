@@ -95,12 +95,15 @@ def similar_within(left: list[tuple], right: list[tuple], threshold: Fraction) -
     token, owner = (np.cumsum(times > 1) - 1)[token[several]], owner[several]
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    shared = np.zeros((a, len(right) or a), dtype=np.float64)
+    shared = np.zeros((a, len(right) or a), dtype=np.int64)
     for low in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
         x, y = np.searchsorted(token, [low, low + COLUMNS])
-        block = np.zeros((len(every), COLUMNS), dtype=np.float32)
-        block[owner[x:y], token[x:y] - low] = 1
-        shared += block[:a] @ (block[a:] if right else block).T
+        block = np.zeros((len(every), COLUMNS), dtype=bool)
+        block[owner[x:y], token[x:y] - low] = True
+        block = np.packbits(block, axis=1).view(U)
+        others = block[a:] if right else block
+        for i in range(a):
+            shared[i] += np.bitwise_count(others & block[i]).sum(1, dtype=np.int64)
     whole = size[:a, None] + (size[a:] if right else size)[None, :] - shared
     i, j = np.nonzero(shared * threshold.denominator >= threshold.numerator * whole)
     return (i, j + a) if right else (i[i < j], j[i < j])
