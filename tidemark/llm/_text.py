@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE = 1 << 17
 U = np.uint64
@@ -61,6 +62,23 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
 
 
+#: From so many bytes on, ranges of bytes are hashed by XXH64: a polynomial modulo 2**64 meets itself on some periodic ranges of 1,024 and more.
+LONG = 512
+
+
+def byte_hash(data: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end); ``values`` maps bytes to numbers, and so may fold them.
+
+    Equal for ranges that ``values`` makes equal, as long as it folds bytes only by A-Z to a-z.
+    """
+    out = range_hash(running(values[data]), start, end)
+    long = np.flatnonzero(end - start >= LONG)
+    if len(long):
+        folded = LOWER[data] if values is LOWERED else data
+        out[long] = [xxhash.xxh64_intdigest(folded[a:b].tobytes(), 7) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 def byte_set(chars: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(chars)] = True
