@@ -185,18 +185,21 @@ def test_chat_format(spark):
     first = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
     import hashlib
 
-    for r in chat_format.digest(formatted).collect():
+    for r in chat_format.digest(chat_format.expand_examples(formatted)).collect():
         own = sorted((x for x in rows if x[0] == r.conv_id), key=first)
         assert r.n_turns == len(own)
         assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    examples = chat_format.expand_examples(formatted).collect()
-    assert len(examples) == 4
+    every = chat_format.expand_examples(formatted).collect()
+    examples = [e for e in every if e.reply is not None]
+    assert len(examples) == 4 and len(every) == 7 and sum(e.last for e in every) == 4
+    assert all(e.last and e.loss_start == e.loss_end for e in every if e.reply is None)
+    assert [len(e.context) for e in examples if e.conv_id == 1] == sorted({len(e.context) for e in examples if e.conv_id == 1})
     for e in examples:
         whole = e.context + e.reply
         assert whole[e.loss_start : e.loss_end] == e.reply[3:-4] and e.reply.startswith("<s>") and e.reply.endswith("</s>")
-    assert chat_format.digest(chat_format.format_conversations(turns.filter("false"))).count() == 0
+    assert chat_format.digest(chat_format.expand_examples(chat_format.format_conversations(turns.filter("false")))).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):

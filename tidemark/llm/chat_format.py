@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion, with DataFrame functions only.
 
-A conversation becomes a list of segments, one a turn. Each assistant turn is an
-example of its own: the segments before it are its context, and only its reply is
-trainable. Examples share the one list of segments, so a conversation of n turns
-takes n segments and not n**2; :func:`expand_examples` writes the contexts out.
+A conversation becomes a list of segments, one a turn. :func:`expand_examples` explodes each
+assistant turn into an example of its own: the segments before it are its context, and only
+its reply is trainable. :func:`digest` reads the examples back. The examples of a conversation
+come from its one row and are digested beside it, so contexts are never shuffled.
 
 Template: an assistant turn is ``<s>text</s>``, any other is ``[INST]role\\ntext[/INST]``.
 In roles and texts ``%``, ``<``, ``[`` and, in roles, line feeds are percent-encoded, so
@@ -57,18 +57,23 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def expand_examples(formatted: DataFrame) -> DataFrame:
-    """Every example written out: conv_id, example, context, reply, loss_start, loss_end.
+    """Every example written out: conv_id, example, context, reply, loss_start, loss_end, last.
 
     The loss span is in characters of context followed by reply; it covers the reply's
-    escaped text and neither its marks nor the context.
+    escaped text and neither its marks nor the context. Turns after the last reply, or of a
+    conversation without any, are in one more row with a null reply and an empty span.
+    ``last`` marks the row of each conversation that holds all its turns.
     """
-    rows = formatted.select("conv_id", "segments", F.posexplode("targets").alias("example", "at"))
-    context = F.array_join(F.slice("segments", 1, F.col("at")), "")
-    reply = F.get("segments", F.col("at"))
-    start = F.length("context") + len("<s>")
-    return rows.select("conv_id", "example", context.alias("context"), reply.alias("reply")).select(
-        "*", start.alias("loss_start"), (start + F.length("reply") - len("<s></s>")).alias("loss_end")
-    )
+    tail = F.when(F.size("segments") > F.coalesce(F.try_element_at("targets", F.lit(-1)) + 1, F.lit(0)), F.array(F.size("segments")))
+    rows = formatted.select("conv_id", "segments", F.concat("targets", F.coalesce(tail, F.array().cast("array<int>"))).alias("places"))
+    rows = rows.select("conv_id", "segments", F.size("places").alias("n"), F.posexplode("places").alias("example", "at"))
+    rows = rows.select(
+        "conv_id", "example", F.array_join(F.slice("segments", 1, F.col("at")), "").alias("context"),
+        F.get("segments", F.col("at")).alias("reply"), (F.col("example") == F.col("n") - 1).alias("last"),
+    )
+    start = F.length("context") + F.when(F.col("reply").isNull(), 0).otherwise(len("<s>"))
+    length = F.coalesce(F.length("reply") - len("<s></s>"), F.lit(0))
+    return rows.select("conv_id", "example", "context", "reply", start.alias("loss_start"), (start + length).alias("loss_end"), "last")
 
 
 def read_turn(segment: Column) -> tuple[Column, Column]:
@@ -81,21 +86,30 @@ def read_turn(segment: Column) -> tuple[Column, Column]:
     return role, unescape(text)
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from them."""
+#: One segment; segments hold "<" and "[" in their marks only.
+SEGMENT = r"<s>[^<\[]*</s>|\[INST\][^<\[]*\[/INST\]"
+
+
+def digest(examples: DataFrame) -> DataFrame:
+    """What the written examples hold, read back from them: one row per conversation."""
 
     def line(segment: Column) -> Column:
         role, text = read_turn(segment)
         return F.concat(role, F.lit("\n"), text, F.lit("\n"))
 
-    replies = F.transform("targets", lambda i: read_turn(F.get("segments", i))[1])
-    read = formatted.select(
-        "conv_id",
-        F.size("segments").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("segments", line), ""), 256).alias("turns_sha256"),
-        F.array_join(replies, "").alias("loss"),
-        F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.length(s)).alias("formatted_chars"),
-        F.size("targets").cast("long").alias("n_examples"),
+    text = F.concat("context", F.coalesce("reply", F.lit("")))
+    rows = examples.select("conv_id", "example", "reply", "loss_start", "loss_end", "last", text.alias("text"))
+    turns = F.when(F.col("last"), F.transform(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0)), line))
+    rows = rows.select(
+        "conv_id", "example", F.col("reply").isNotNull().cast("long").alias("has_reply"), F.length("text").alias("chars"), turns.alias("turns"),
+        unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))).alias("loss"),
+    )
+    read = rows.groupBy("conv_id").agg(
+        F.max(F.size("turns")).cast("long").alias("n_turns"),
+        F.max(F.sha2(F.array_join("turns", ""), 256)).alias("turns_sha256"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+        F.sum("has_reply").alias("n_examples"),
     )
     return read.select(
         "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),

@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"),
     )
-    return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
+    return chat_format.digest(chat_format.expand_examples(chat_format.format_conversations(turns.unionByName(extra))))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

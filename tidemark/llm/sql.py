@@ -9,15 +9,19 @@ SQL["op3_chat_format"] = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
-)
+), segments AS (
+  SELECT *, role = 'assistant' AS reply, length({_ESC.format("text")}) + CASE WHEN role = 'assistant' THEN 7
+    ELSE 14 + length(replace({_ESC.format("role")}, chr(10), '%0A')) END AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+), prefixes AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM segments)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
-  sum(length({_ESC.format("text")}) + CASE WHEN role = 'assistant' THEN 7
-    ELSE 14 + length(replace({_ESC.format("role")}, chr(10), '%0A')) END)::BIGINT AS formatted_chars,
-  sum((role = 'assistant')::INT)::BIGINT AS n_examples
-FROM turns GROUP BY conv_id
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  sum(CASE WHEN reply THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN reply THEN text ELSE '' END, '' ORDER BY place)) AS loss_sha256,
+  sum(CASE WHEN reply OR place = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
+  sum(reply::INT)::BIGINT AS n_examples
+FROM prefixes GROUP BY conv_id
 """
 
 SQL["op9_decontamination"] = r"""
