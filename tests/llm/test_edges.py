@@ -128,11 +128,23 @@ def test_decontamination(spark, docs, none):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x green y blue"), (2, "blue a b c d e green red"), (3, "red green")], "doc_id string, text string")
-    tokens = decontamination.tokens_of(docs.select("doc_id", decontamination.words(F.col("text")).alias("words")))
-    lookups = spark.createDataFrame([(0, 0, i, t, 3) for i, t in enumerate(("red", "green", "blue"))], "item long, at int, offset int, term string, needed long")
-    index = decontamination.postings(tokens, lookups.select("term"))
-    assert [tuple(r) for r in decontamination.proximity_matches(index, lookups, 5).collect()] == [(0, 0, "1", 0, 4)]
+    item = "one two three four five six seven eight nine ten"
+    rows = {
+        1: item, 2: "x " + item.replace("five", "five q q q q q") + " y", 3: item.replace("five", "five q q q q q q"), 4: "ten nine eight seven six five four three two one",
+        5: item.replace("ten", "eleven"), 6: "red x red", 7: "two two three", 8: "z " * 30 + "three two", 9: None, 10: "three " + "q " * 14 + "two", 11: "three " + "q " * 13 + "two",
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, "red"), (3, "two three two"), (4, "absent words"), (None, "red")], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontamination.contamination(docs, benchmark).collect()}
+
+    def near(text, window, span=15):
+        words = (text or "").split()
+        return any(set(window.split()) <= set(words[s : s + span]) for s in range(len(words)))
+
+    items = (item, "red", "two three two")
+    want = {d: sum(near(t, i) for i in items) for d, t in rows.items()}
+    assert {d: n for d, (_, n) in got.items()} == want and want[2] == 2 and want[3] == 1 and want[10] == 0 and want[11] == 1
+    assert {d: n for d, (n, _) in got.items() if n} == {1: 1, 6: 1}
 
 
 def test_substrings(spark, docs, none):

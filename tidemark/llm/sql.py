@@ -42,10 +42,22 @@ WITH d AS (
   FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)
 ), hit AS (SELECT r, p, spots.n, item_id FROM spots JOIN win USING (s, n)
 ), words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hit) GROUP BY r
-), items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r)
+), items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r
+), tokens AS (SELECT r, unnest(w) AS t, unnest(generate_series(1, len(w))) AS p FROM d
+), often AS (SELECT t, count(*) AS n FROM tokens GROUP BY t
+), terms AS (SELECT item_id, s, list_distinct(string_split(s, ' ')) AS ts FROM win
+), anchors AS (
+  SELECT item_id, ts, arg_min(t, (coalesce(often.n, 0), t)) AS t
+  FROM (SELECT item_id, s, ts, unnest(ts) AS t FROM terms) LEFT JOIN often USING (t) GROUP BY item_id, s, ts
+), close AS (
+  SELECT r, item_id, ts, w, p FROM anchors JOIN tokens USING (t) JOIN d USING (r) WHERE list_has_all(w[greatest(p - 14, 1):p + 14], ts)
+), near AS (
+  SELECT r, count(DISTINCT item_id) AS n_near_items
+  FROM (SELECT r, item_id, ts, w, unnest(generate_series(greatest(p - 14, 1), p)) AS f FROM close) WHERE list_has_all(w[f:f + 14], ts) GROUP BY r
+)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
 """
 
 #: Mean of a source is rate; means over 32 are sums of parts, each inverted at a hash of its own.
