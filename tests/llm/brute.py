@@ -89,13 +89,13 @@ def substring_removed(rows: list[tuple], size: int = 50) -> dict:
     return out
 
 
-def line_removals(rows: list[tuple], least: int = 5) -> dict:
+def line_removals(rows: list[tuple]) -> dict:
     """doc_id -> line numbers removed, of rows (doc_id, text) with distinct doc_ids."""
     lines = []
     for d, t in sorted(rows, key=lambda r: r[0]):
         for i, line in enumerate((t or "").split("\n")):
             tokens = frozenset(WORD.findall(lower(line)))
-            if len(tokens) >= least:
+            if tokens:
                 lines.append((d, i, tokens))
     out: dict = {}
     seen: dict = {}

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import random
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from tidemark.llm import line_dedup
 from tidemark.llm import queries as q
+from tidemark.llm._text import pieces
 
 SF1 = "/root/testdata/sf0.01"
 
@@ -23,8 +29,10 @@ def test_substrings(spark, rows):
     assert sum(x[1] for x in want.values()) > 1000
 
 
-@pytest.mark.parametrize(("witnesses", "large"), [(64, 4096), (2, 2)])
-def test_lines(spark, rows, witnesses, large, monkeypatch):
+@pytest.mark.parametrize(("witnesses", "large", "hot"), [(16, 2048, 4096), (2, 2, 1 << 40), (1, 2048, 1 << 20)])
+def test_lines(spark, rows, witnesses, large, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "STEP_PAIRS", 1 << 22 if large > 2 else 100)
     monkeypatch.setattr(line_dedup, "WITNESSES", witnesses)
     monkeypatch.setattr(line_dedup, "KEPT", witnesses)
     monkeypatch.setattr(line_dedup, "OTHERS", 1)
@@ -37,3 +45,30 @@ def test_lines(spark, rows, witnesses, large, monkeypatch):
     for d, t in rows:
         gone = set(want.get(d, ()))
         assert clean[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+
+
+@pytest.mark.parametrize("hot", [60_000, 9_000, 1])
+@pytest.mark.parametrize(("large", "step"), [(2048, 1 << 22), (2048, 50), (3, 50)])
+def test_every_similar_pair_is_a_candidate(hot, large, step, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "STEP_PAIRS", step)
+    rng = random.Random(11)
+    base = [[str(int(rng.paretovariate(0.5)) % 300) for _ in range(rng.randint(1, 12))] for _ in range(30)]
+    texts = []
+    for _ in range(120):
+        words = list(rng.choice(base))
+        words[rng.randrange(len(words))] = str(rng.randrange(300))
+        texts.append(" ".join(words))
+    (piece,) = pieces(pa.array(texts))
+    lines = line_dedup.Lines(piece)
+    rarity = np.zeros(line_dedup.SKETCH, dtype=np.int64)
+    np.add.at(rarity, (lines.tokens & np.uint64(line_dedup.SKETCH - 1)).astype(np.int64), 1)
+    entries = line_dedup.entries_of(lines, np.arange(len(texts)), line_dedup._logs(rarity), hot, Fraction("0.8"))
+    entries = line_dedup._first_of_each(entries)
+    found = set()
+    for x, y, _ in line_dedup.candidates(entries, Fraction("0.8"), None, None):
+        assert (line_dedup.Filters(entries, Fraction("0.8")).rank[x] > line_dedup.Filters(entries, Fraction("0.8")).rank[y]).all()
+        found |= {frozenset(p) for p in zip(entries["set"][x].tolist(), entries["set"][y].tolist(), strict=True)}
+    sets = {int(h): frozenset(t.split()) for h, t in zip(lines.set, texts, strict=True)}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert want <= found and len(want) > 20

@@ -7,8 +7,11 @@ filter), leave enough tokens after a shared position (positional filter), and di
 tokens that 128-bit parity maps of theirs differ in no more bits. Pairs that pass are
 verified on the whole token sets. A line is removed if an earlier line is similar.
 
-Rarity is a Spark-summed table of ``SKETCH`` hashed counters over all texts: every total
-order of the tokens gives the same pairs, so collisions cost time and never results.
+Rarity is a Spark-summed table of ``SKETCH`` hashed counters over all texts, sent out as their
+logarithms: every total order of the tokens gives the same pairs, so collisions cost time and never
+results. A token that makes up more than 1 / ``HOT`` of all would gather too many lines, so a line
+meets others there only under the token and another one together: similar lines share two tokens
+among the first n - ceil(t * n) + 2 of each, the first of them being the one they meet at.
 
 One earlier similar line is enough. The earlier candidate with the nearest parity map is
 verified first, then the other candidates at hand, then, for lines that are still open and
@@ -32,18 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import ROW, discard, release_shuffles, stored, with_row_key
-from ._text import LOWERED, WORD, Piece, mix, owners, pieces, range_hash, running
+from ._text import LOWERED, WORD, Piece, byte_hash, mix, owners, pieces, range_hash, running
 
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
+#: Share of a token from which lines meet at pairs of tokens.
+HOT = 4096
 #: Candidates that a shared token gives a line before the last round: with one that looks similar at hand, and else.
-WITNESSES, OTHERS = 64, 1024
+WITNESSES, OTHERS = 16, 256
 #: Candidates that a line keeps in all before the last round.
 KEPT = 4096
 #: Prefix entries that one task reads, on average.
-TASK_ENTRIES = 200_000
+TASK_ENTRIES = 500_000
 #: Entries of a token from which its lines are compared in order of occurrence, until they have enough.
-LARGE = 4096
+LARGE = 2048
+#: Pairs that are compared before what passes is handed on.
+STEP_PAIRS = 1 << 22
 #: Size of the map of wanted token sets.
 BITS = 1 << 26
 #: Unresolved lines that one further round takes.
@@ -60,13 +67,13 @@ def _stable(key: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a piece that have at least ``least`` distinct tokens: their token sets."""
+    """The lines of a piece that have words: their token sets."""
 
-    def __init__(self, piece: Piece, least: int):
+    def __init__(self, piece: Piece):
         start, end, _ = piece.ranges(WORD[piece.data])
         line_start, _, line_text = piece.lines()
         first_line = np.searchsorted(line_text, np.arange(piece.n))
-        tokens = range_hash(running(LOWERED[piece.data]), start, end)
+        tokens = byte_hash(piece.data, LOWERED, start, end)
         owner = owners(start, line_start)
         order = np.argsort(tokens)
         order = order[_stable(owner[order])]
@@ -75,7 +82,7 @@ class Lines:
         new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
         tokens, owner = tokens[new], owner[new]
         size = np.bincount(owner, minlength=len(line_start))
-        keep = size >= least
+        keep = size > 0
         #: tokens, sorted by line and then by hash, and the line of each
         self.tokens, self.owner = tokens[keep[owner]], (np.cumsum(keep) - 1)[owner[keep[owner]]]
         self.size = size[keep]
@@ -88,6 +95,10 @@ class Lines:
     def __len__(self) -> int:
         return len(self.size)
 
+    def check(self) -> np.ndarray:
+        """Other hashes of the sets; equal lines agree in both."""
+        return range_hash(running(mix(self.tokens ^ U(0x5DEECE66D))), self.first, self.first + self.size)
+
     def parity(self) -> tuple[np.ndarray, np.ndarray]:
         """128-bit maps, as two words: bit b is the parity of the tokens that hash to b."""
         if not len(self):
@@ -121,27 +132,34 @@ def _sliced(table: np.ndarray, slices: int) -> pa.RecordBatch:
 
 
 def count_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashed token counts of all texts, saturated at 65535, and the number of tokens."""
+    """1,000 times the binary logarithms of hashed token counts of all texts, and the number of tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 start, end, _ = piece.ranges(WORD[piece.data])
-                tokens = range_hash(running(LOWERED[piece.data]), start, end)
+                tokens = byte_hash(piece.data, LOWERED, start, end)
                 np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
         yield _sliced(table, 64)
 
     table = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), "<i8", np.add)
-    return np.clip(table, 1, 65535).astype(np.uint16) if len(table) else np.ones(SKETCH, dtype=np.uint16), int(table.sum())
+    return _logs(table) if len(table) else np.zeros(SKETCH, dtype=np.uint16), int(table.sum())
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.floor(1000 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
 
 
 def prefix_length(size: np.ndarray, threshold: Fraction) -> np.ndarray:
     return size - -(-size * threshold.numerator // threshold.denominator) + 1
 
 
-def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """The prefix entries of the lines, of equal ones the first; ``doc`` is each line's doc_id."""
+def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, hot: int, threshold: Fraction) -> np.ndarray:
+    """The prefix entries of the lines, of equal ones the first; ``doc`` is each line's doc_id.
+
+    Tokens of rank ``hot`` or more give an entry for every later token of the prefix that is longer by one.
+    """
     by_set = np.lexsort((lines.number, doc, lines.set))
     repeat = np.zeros(len(lines), dtype=bool)
     repeat[by_set[1:]] = lines.set[by_set[1:]] == lines.set[by_set[:-1]]
@@ -149,15 +167,24 @@ def entries_of(lines: Lines, doc: np.ndarray, rarity: np.ndarray, threshold: Fra
     order = _stable(rank)
     order = order[_stable(lines.owner[order])]
     place = np.arange(len(order)) - lines.first[lines.owner]
-    chosen = place < np.where(repeat, 0, prefix_length(lines.size, threshold))[lines.owner]
+    prefix = np.where(repeat, 0, prefix_length(lines.size, threshold))
+    chosen = place < prefix[lines.owner]
     # sets so small that only equal ones are similar enough meet by their hash alone
     chosen &= (lines.size * threshold.denominator >= threshold.numerator * (lines.size + 1))[lines.owner]
-    chosen &= rank[order] > 1  # a counter of 1 is a token that no other line has
-    order, place = order[chosen], place[chosen]
-    owner = lines.owner[order]
-    out = np.empty(len(order), dtype=ENTRY)
-    out["token"] = mix(lines.tokens[order]) >> U(32)
-    out["size"], out["place"] = lines.size[owner], place
+    chosen &= rank[order] > 0  # a counter of 1 is a token that no other line has
+    often = rank[order] >= hot
+    alone, paired = np.flatnonzero(chosen & ~often), np.flatnonzero(chosen & often)
+    of = lines.owner[paired]
+    count = np.minimum(prefix[of] + 1, lines.size[of]) - place[paired] - 1
+    first = np.repeat(paired, count)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    tokens = lines.tokens[order]
+    keys = np.concatenate([mix(tokens[alone]), mix(tokens[first] + mix(tokens[second]))])
+    at = np.concatenate([alone, first])
+    owner = lines.owner[at]
+    out = np.empty(len(at), dtype=ENTRY)
+    out["token"] = keys >> U(32)
+    out["size"], out["place"] = lines.size[owner], place[at]
     first, second = lines.parity()
     out["parity"], out["parity2"], out["set"] = first[owner], second[owner], lines.set[owner]
     out["doc"], out["line"] = doc[owner], lines.number[owner]
@@ -226,84 +253,99 @@ class Filters:
         return near[ok]
 
 
-def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(entries: np.ndarray, threshold: Fraction, limit: int | None, only: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (later, earlier) of entry numbers that pass all filters, and whether the later had more than ``limit``.
 
     ``entries`` are those of :func:`_first_of_each`; ``only`` marks the entries to find
     candidates for. Tokens of few entries compare each entry with the smaller ones of a
     size that can be similar, and keep the nearest by their parity maps: ``limit`` of them if the
     nearest differs in half the bits it may at most, else ``OTHERS``. Tokens of many entries
-    compare each with the earlier ones, in order of occurrence, until it has ``limit``. Steps
-    run over all tokens at once.
+    compare each with the earlier ones, in order of occurrence, until it has ``limit``. Some tokens
+    are taken at once, so that no more than some ``STEP_PAIRS`` pairs are held.
     """
-    n = len(entries)
     f = Filters(entries, threshold)
-    token, every = entries["token"], np.arange(n)
-    begin = np.searchsorted(token, token, "left")
-    large = np.searchsorted(token, token, "right") - begin > LARGE
-    have, more = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    token = entries["token"]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(token)))
+    small = np.flatnonzero(sizes <= LARGE)
+    work = np.cumsum(sizes[small] * sizes[small])
+    for some in np.split(small, np.searchsorted(work, np.arange(STEP_PAIRS, work[-1] if len(work) else 0, STEP_PAIRS))):
+        if len(some):
+            every = np.repeat(starts[some] - np.cumsum(sizes[some]) + sizes[some], sizes[some]) + np.arange(int(sizes[some].sum()))
+            yield _nearest(f, token, every, limit, only)
+    for i in np.flatnonzero(sizes > LARGE):
+        yield from _in_order(f, np.arange(starts[i], starts[i] + sizes[i]), limit, only)
+
+
+def _nearest(f: Filters, token: np.ndarray, every: np.ndarray, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates of all entries ``every`` of some tokens, each compared with the smaller ones."""
     later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    live = np.flatnonzero(~large)
-    key = _pair(token, f.size)
-    other = np.searchsorted(key, _pair(token[live], -(-f.size[live] * f.t // f.u)), "left")
-    going = other < live
-    live, other = live[going], other[going]
-    while len(live):
-        hit = f.passed(live, other)
-        x, y = live[hit], other[hit]
+    key = _pair(token[every], f.size[every])
+    live = np.arange(len(every))
+    other = np.searchsorted(key, _pair(token[every], -(-f.size[every] * f.t // f.u)), "left")
+    while True:
+        going = other < live
+        live, other = live[going], other[going]
+        if not len(live):
+            break
+        a, b = every[live], every[other]
+        hit = f.passed(a, b)
+        x, y = a[hit], b[hit]
         turn = f.rank[x] < f.rank[y]
         x, y = np.where(turn, y, x), np.where(turn, x, y)
         wanted = slice(None) if only is None else only[x]
         later.append(x[wanted])
         earlier.append(y[wanted])
         other = other + 1
+    x, y = np.concatenate(later), np.concatenate(earlier)
+    if limit is None or not len(x):
+        return x, y, np.zeros(len(x), dtype=bool)
+    distance = f.distance(x, y)
+    order = np.lexsort((distance, x))
+    x, y, distance = x[order], y[order], distance[order]
+    first = np.searchsorted(x, x, "left")
+    near = 2 * distance[first] <= f.apart(x[first], y[first])
+    over = np.arange(len(x)) - first >= np.where(near, limit, max(limit, OTHERS))
+    flagged = np.unique(x[over])
+    return x[~over], y[~over], np.isin(x[~over], flagged)
+
+
+def _in_order(f: Filters, every: np.ndarray, limit: int | None, only: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates of all entries of one token, each compared with the earlier ones until it has ``limit``."""
+    every = every[np.argsort(f.rank[every], kind="stable")]
+    have = np.zeros(len(every), dtype=np.int64)
+    live = np.arange(len(every)) if only is None else np.flatnonzero(only[every])
+    other = np.zeros(len(live), dtype=np.int64)
+    later, earlier, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while True:
         going = other < live
+        if limit is not None:
+            going &= have[live] <= limit
         live, other = live[going], other[going]
-
-    if limit is not None:
-        x, y = np.concatenate(later), np.concatenate(earlier)
-        distance = f.distance(x, y)
-        order = np.lexsort((distance, x))
-        x, y, distance = x[order], y[order], distance[order]
-        first = np.searchsorted(x, x, "left")
-        near = 2 * distance[first] <= f.apart(x[first], y[first])
-        over = np.arange(len(x)) - first >= np.where(near, limit, max(limit, OTHERS))
-        more[x[over]] = True
-        later, earlier = [x[~over]], [y[~over]]
-
-    every = np.flatnonzero(large)
-    every = every[np.lexsort((f.rank[every], token[every]))]
-    live = np.arange(len(every))
-    if only is not None:
-        live = live[only[every]]
-    other = np.searchsorted(token[every], token[every[live]], "left")
-    going = other < live
-    live, other = live[going], other[going]
-    while len(live):
+        if not len(live):
+            break
         hit = f.passed(every[live], every[other])
-        x, y = every[live[hit]], every[other[hit]]
-        have[x] += 1
-        if limit is not None:
-            over = have[x] > limit
-            more[x[over]] = True
-            x, y = x[~over], y[~over]
-        later.append(x)
-        earlier.append(y)
+        have[live[hit]] += 1
+        later.append(live[hit])
+        earlier.append(other[hit])
+        size += len(hit)
         other = other + 1
-        going = (other < live) & ~more[every[live]]
-        live, other = live[going], other[going]
-    return np.concatenate(later), np.concatenate(earlier), more
+        if size > STEP_PAIRS and limit is None:
+            x, y = np.concatenate(later), np.concatenate(earlier)
+            yield every[x], every[y], np.zeros(len(x), dtype=bool)
+            later, earlier, size = [x[:0]], [y[:0]], 0
+    x, y = np.concatenate(later), np.concatenate(earlier)
+    yield every[x], every[y], np.zeros(len(x), dtype=bool) if limit is None else have[x] > limit
 
 
-LINE = "shard int, entries binary, set long, doc_id long, line int"
+LINE = "shard int, entries binary, set long, check long, doc_id long, line int"
 
 
-def line_rows(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: int, shards: int) -> DataFrame:
-    """Two kinds of rows, dealt to shards: packed prefix entries (shard, entries), and lines (shard, set, doc_id, line)."""
+def line_rows(docs: DataFrame, rarity: np.ndarray, hot: int, threshold: Fraction, shards: int) -> DataFrame:
+    """Two kinds of rows, dealt to shards: packed prefix entries (shard, entries), and lines (shard, set, check, doc_id, line)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    names = ["shard", "entries", "set", "doc_id", "line"]
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["shard", "entries", "set", "check", "doc_id", "line"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def rows(columns: dict) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -314,11 +356,11 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: i
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for piece in pieces(batch.column(1)):
-                lines = Lines(piece, least)
+                lines = Lines(piece)
                 doc = ids[piece.first + lines.text]
                 shard = (lines.set % U(shards)).astype(np.int32)
-                yield rows({"shard": shard, "set": lines.set.view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32)})
-                held.append(entries_of(lines, doc, shared.value, threshold))
+                yield rows({"shard": shard, "set": lines.set.view(np.int64), "check": lines.check().view(np.int64), "doc_id": doc, "line": lines.number.astype(np.int32)})
+                held.append(entries_of(lines, doc, shared.value, hot, threshold))
                 size += len(held[-1])
                 if size > 500_000:
                     yield rows(_dealt(held, shards))
@@ -329,47 +371,45 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, threshold: Fraction, least: i
     return docs.select("doc_id", "text").mapInArrow(apply, LINE)
 
 
-PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean, line int"
+PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean, line int, check long"
 
 
 def candidate_pairs(rows: DataFrame, threshold: Fraction, tasks: int, limit: int | None = None, only: np.ndarray | None = None) -> DataFrame:
     """Candidate pairs of token sets, ``x`` the later one, with the documents of their first occurrences; and the lines.
 
     ``rows`` are :func:`line_rows`. ``apart`` is the distance of the parity maps, ``more`` marks
-    lines with candidates beyond ``limit``. A row with ``line`` is a line: its set is ``x``, its
-    document ``x_doc``.
+    lines with candidates beyond ``limit``. A row with ``line`` is a line: its set is ``x`` and
+    ``check``, its document ``x_doc``.
     """
     shared = rows.sparkSession.sparkContext.broadcast(only)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
-    names = ["x", "y", "x_doc", "y_doc", "apart", "more", "line"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64()]
+    names = ["x", "y", "x_doc", "y_doc", "apart", "more", "line", "check"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
         for batch in batches:
-            is_line = batch.column(4).is_valid()
+            is_line = batch.column(5).is_valid()
             lines = batch.filter(is_line)
             if len(lines):
-                columns = {"x": lines.column(2), "x_doc": lines.column(3), "line": lines.column(4)}
+                columns = {"x": lines.column(2), "check": lines.column(3), "x_doc": lines.column(4), "line": lines.column(5)}
                 yield pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(len(lines), k)) for n, k in zip(names, kinds, strict=True)], names)
-            blobs += [_unpacked(x) for x in batch.filter(batch.column(4).is_null()).column(1).to_pylist()]
+            blobs += [_unpacked(x) for x in batch.filter(batch.column(5).is_null()).column(1).to_pylist()]
         if not blobs:
             return
         entries = _first_of_each(np.concatenate(blobs))
         del blobs
         chosen = shared.value
-        x, y, more = candidates(entries, threshold, limit, None if chosen is None else np.isin(entries["set"], chosen))
-        later, earlier = entries[x], entries[y]
-        _, one = np.unique(mix(later["set"]) ^ earlier["set"], return_index=True)
-        flagged = np.unique(later["set"][more[x]])
-        later, earlier = later[one], earlier[one]
-        apart = np.bitwise_count(later["parity"] ^ earlier["parity"]) + np.bitwise_count(later["parity2"] ^ earlier["parity2"])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(later["set"].view(np.int64)), pa.array(earlier["set"].view(np.int64)), pa.array(later["doc"]), pa.array(earlier["doc"]),
-                pa.array(apart.astype(np.int32)), pa.array(np.isin(later["set"], flagged)), pa.nulls(len(later), pa.int32()),
-            ],
-            names,
-        )
+        for x, y, more in candidates(entries, threshold, limit, None if chosen is None else np.isin(entries["set"], chosen)):
+            flagged = np.unique(entries["set"][x[more]])
+            later, earlier = entries[x], entries[y]
+            _, one = np.unique(mix(later["set"]) ^ earlier["set"], return_index=True)
+            later, earlier = later[one], earlier[one]
+            apart = np.bitwise_count(later["parity"] ^ earlier["parity"]) + np.bitwise_count(later["parity2"] ^ earlier["parity2"])
+            columns = {
+                "x": later["set"].view(np.int64), "y": earlier["set"].view(np.int64), "x_doc": later["doc"], "y_doc": earlier["doc"],
+                "apart": apart.astype(np.int32), "more": np.isin(later["set"], flagged),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n]) if n in columns else pa.nulls(len(later), k) for n, k in zip(names, kinds, strict=True)], names)
 
     return rows.repartition(tasks, "shard").mapInArrow(join, PAIR)
 
@@ -409,7 +449,7 @@ def _bits(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (spread & U(BITS - 1)).astype(np.int64), ((spread >> U(32)) & U(BITS - 1)).astype(np.int64)
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set, tokens binary) of both ends of the pairs (x, y, x_doc, y_doc), each once, and of a few others.
 
     Only the documents where the pairs' ends first stand are read line by line.
@@ -438,7 +478,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(asked(documents, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             for piece in pieces(batch.column(1)):
-                lines = Lines(piece, least)
+                lines = Lines(piece)
                 wanted = np.flatnonzero(asked(sets, lines.set.view(np.int64)))
                 _, one = np.unique(lines.set[wanted], return_index=True)
                 wanted = wanted[one]
@@ -466,7 +506,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> Dat
     return both.select("x", "y", "a", "b").mapInArrow(verify, "x long, y long")
 
 
-def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: str = "0.8") -> DataFrame:
     """(doc_id, lines array<int>): the numbers (from 0) of the lines to remove, of documents that lose any.
 
     A line goes if an earlier line, by doc_id and line number, has a token set of at least the
@@ -478,10 +518,11 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     rarity, tokens = count_tokens(rows)
     tasks = max(1, math.ceil(tokens * (1.2 - float(share)) / (2 * TASK_ENTRIES)))
-    rows_of = lambda only=None: candidate_pairs(line_rows(rows, rarity, share, least, 4 * tasks), share, tasks, WITNESSES if only is None else None, only)
+    hot = max(int(_logs(np.array([tokens // HOT]))[0]), 1)
+    rows_of = lambda only=None: candidate_pairs(line_rows(rows, rarity, hot, share, 4 * tasks), share, tasks, WITNESSES if only is None else None, only)
     table = stored(rows_of(), "lines")
     release_shuffles(spark)
-    lines, first_pairs = table.filter("line IS NOT NULL").select(F.col("x").alias("set"), F.col("x_doc").alias("doc_id"), "line"), table.filter("line IS NULL")
+    lines, first_pairs = table.filter("line IS NOT NULL").select(F.col("x").alias("set"), "check", F.col("x_doc").alias("doc_id"), "line"), table.filter("line IS NULL")
     found = []
 
     def verify(pairs: DataFrame, sets: DataFrame) -> None:
@@ -493,7 +534,7 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     kept = stored(kept.select("x", "x_doc", F.slice("ys", 1, KEPT).alias("ys"), (F.col("more") | (F.size("ys") > KEPT)).alias("more")), "pairs")
     release_shuffles(spark)
     pair = lambda df, ys: df.select("x", "x_doc", F.explode(ys).alias("p")).select("x", "x_doc", "p.y", "p.y_doc")
-    sets = sets_of(rows, pair(kept, F.col("ys")), least)
+    sets = sets_of(rows, pair(kept, F.col("ys")))
     verify(pair(kept, F.slice("ys", 1, 1)), sets)
     left = kept.filter(F.size("ys") > 1).join(found[0], "x", "left_anti")
     verify(pair(left, F.slice("ys", 2, KEPT)), sets)
@@ -502,32 +543,32 @@ def removed_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> Da
     for i in range(rounds):
         part = open_sets.filter(F.pmod(F.xxhash64("x"), F.lit(rounds)) == i).toArrow().column("x").to_numpy().view(U)
         rest = stored(rows_of(np.sort(part)).filter("line IS NULL").dropDuplicates(["x", "y"]), "pairs")
-        verify(rest, sets_of(rows, rest, least))
+        verify(rest, sets_of(rows, rest))
     discard(sets, kept, open_sets)
     similar = found[0]
     for more in found[1:]:
         similar = similar.union(more)
     similar = similar.distinct().select(F.col("x").alias("set"), F.lit(True).alias("similar"))
-    first = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")).join(similar, "set", "left")
+    # copies agree in both hashes of the set; a similar set was compared in full
+    first = lines.groupBy("set", "check").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")).join(similar, "set", "left")
     first = stored(first.filter("times > 1 OR similar"), "first")
-    gone = lines.join(first, "set").filter(F.col("similar").isNotNull() | (F.struct("doc_id", "line") > F.col("first")))
+    gone = lines.join(first, ["set", "check"]).filter(F.col("similar").isNotNull() | (F.struct("doc_id", "line") > F.col("first")))
     out = stored(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "removed")
     discard(table, first, *found)
     release_shuffles(spark)
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: str = "0.8", least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: str = "0.8") -> DataFrame:
     """All rows and columns of ``docs``, the text without its removed lines, and n_lines_removed.
 
-    Lines are what stands between line feeds. Lines with fewer than ``least`` distinct words
-    always stay. Texts that lose nothing are unchanged, null texts too; a text may become
+    Lines are what stands between line feeds. Lines without words always stay. Texts that lose nothing are unchanged, null texts too; a text may become
     empty. Null doc_ids come first in the order of lines. Rows that share a doc_id, or
     have none, are rows of their own, in a fixed order. An
     empty table gives an empty result. A column named n_lines_removed is replaced.
     """
     docs = with_row_key(docs.drop("n_lines_removed"))
-    removed = removed_lines(docs.select(F.col(ROW).alias("doc_id"), "text"), threshold, least)
+    removed = removed_lines(docs.select(F.col(ROW).alias("doc_id"), "text"), threshold)
     removed = removed.withColumnsRenamed({"doc_id": "_tidemark_doc", "lines": "_tidemark_lines"})
     # always a merge join: what is removed grows with the documents, so the plan must not change with its size
     rows = docs.join(removed.hint("merge"), F.col(ROW) == F.col("_tidemark_doc"), "left")
