@@ -42,7 +42,7 @@ SKETCH = 1 << 22
 #: Share of a token from which lines meet at pairs of tokens.
 HOT = 4096
 #: Candidates that a shared token gives a line before the last round: with one that looks similar at hand, and else.
-WITNESSES, OTHERS = 16, 256
+WITNESSES, OTHERS = 2, 16
 #: Candidates that a line keeps in all before the last round.
 KEPT = 4096
 #: Prefix entries that one task reads, on average.
