@@ -72,8 +72,6 @@ def test_classifiers(docs, none, labels):
 def test_language_model(docs, none):
     got = class_lm.lm_scores(docs).collect()
     assert len(got) == len(_rows())
-    keyed = brute.base_scores([((r[0], i), r[1]) for i, r in enumerate(_rows())])
-    del keyed
     tokens = {(d, t): [*brute.WORD.findall(brute.lower(t or "")), None] for d, t, *_ in _rows()}
     train = [x for d, t, *_ in _rows() if brute.fold(d, 7) != 2 for x in tokens[d, t]]
     assert {r.train_tokens for r in got} == {len(train)}

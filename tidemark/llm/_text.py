@@ -174,3 +174,26 @@ def windows(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0, U)
     at = np.flatnonzero(text[:n] == text[k - 1 :])
     return at, range_hash(running(hashes), at, at + k)
+
+
+COUNTS = "key long, n long"
+
+
+def counted(keys: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Counts of keys, merged while they fit into ``most`` entries, which bounds a task's memory."""
+    total, held, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([total[0], *[x[0] for x in held]])
+        unique, where = np.unique(key, return_inverse=True)
+        return unique, np.bincount(where, weights=np.concatenate([total[1], *[x[1] for x in held]]), minlength=len(unique)).astype(np.int64)
+
+    for some in keys:
+        held.append(np.unique(some, return_counts=True))
+        size += len(held[-1][0])
+        if size > most:
+            total, held, size = merged(), [], 0
+            if len(total[0]) > most:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], ["key", "n"])
+                total = (total[0][:0], total[1][:0])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "n"])
