@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, substring
 from tidemark.llm import queries as q
 from tidemark.llm._text import pieces
 
@@ -72,3 +73,19 @@ def test_every_similar_pair_is_a_candidate(hot, large, step, monkeypatch):
     sets = {int(h): frozenset(t.split()) for h, t in zip(lines.set, texts, strict=True)}
     want = {frozenset((a, b)) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert want <= found and len(want) > 20
+
+
+def test_phrase_automaton_on_periodic_texts():
+    rng = random.Random(2)
+    for size, word in ((10, lambda i: b"w"), (10, lambda i: b"ab"[i % 2 : i % 2 + 1]), (4, lambda i: rng.choice([b"x", b"y"]))):
+        passages = [(d, b" ".join(word(i) for i in range(n))) for d, n in ((3, 40), (1, 25), (7, 33))]
+        automaton = substring.PhraseAutomaton(passages, size)
+        for doc_id in (0, 2, 5, 9):
+            words = [word(i) for i in range(60)] + [b"z"] + [word(i) for i in range(12)]
+            there = {tuple(p.split()[i : i + size]) for d, p in passages if d < doc_id for i in range(len(p.split()) - size + 1)}
+            want = {i + j for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in there for j in range(size)}
+            assert {x for a, b in automaton.runs(doc_id, words) for x in range(a, b)} == want
+    began = time.perf_counter()
+    automaton = substring.PhraseAutomaton([(1, b"w " * 19_999)], 50)
+    assert automaton.runs(2, [b"w"] * 20_000) == [(0, 20_000)]
+    assert time.perf_counter() - began < 2

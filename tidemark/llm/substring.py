@@ -152,49 +152,51 @@ def passages_of(rows: DataFrame, size: int) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Finds every run of at least ``size`` words that a text shares with one of the passages."""
+    """Finds every run of at least ``size`` words that a text shares with one of the passages.
+
+    A window of ``size`` words of a passage holds one of the passage's half-size tiles whole. The automaton
+    finds the tiles, and the windows around them are compared with the one passage window of
+    their hash that has the smallest doc_id: one comparison a window, however often it stands there.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]], size: int):
         self.size, self.tile = size, size // 2
         self.vocabulary: dict[bytes, int] = {}
-        self.passages: list[tuple[int, list[int]]] = []
-        places: dict[tuple, list[tuple[int, int]]] = {}
-        for doc_id, passage in passages:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in passage.split()]
+        texts = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in passage.split()] for _, passage in passages]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for ids in texts:
             for at in range(0, len(ids) - self.tile + 1, self.tile):
-                places.setdefault(tuple(ids[at : at + self.tile]), []).append((len(self.passages), at))
-            self.passages.append((doc_id, ids))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for tile, where in places.items():
-            self.automaton.add_word(tile, where)
-        if places:
+                self.automaton.add_word(tuple(ids[at : at + self.tile]), 1)
+        if len(self.automaton):
             self.automaton.make_automaton()
+        self.ids = np.array([x for ids in texts for x in ids], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(ids) for ids in texts])
+        places, keys = windows(mix(self.ids), owner, size)
+        first = np.array([doc_id for doc_id, _ in passages], dtype=np.int64)[owner[places]]
+        order = np.lexsort((first, keys))
+        self.keys, one = np.unique(keys[order], return_index=True)
+        self.places, self.first = places[order][one], first[order][one]
 
     def runs(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
         """Word ranges [start, end) of the text that stand in passages of smaller doc_ids."""
-        if not self.passages or len(words) < self.size:
+        if not len(self.keys) or len(words) < self.size:
             return []
         known = self.vocabulary.get
         ids = tuple([known(w, 0) for w in words])
-        done: dict[tuple[int, int], int] = {}
-        found = []
-        for end, where in self.automaton.iter(ids):
-            begin = end - self.tile + 1
-            for number, offset in where:
-                first, passage = self.passages[number]
-                diagonal = begin - offset
-                if first >= doc_id or done.get((number, diagonal), -1) > end:
-                    continue
-                left, right = begin, end + 1
-                low, high = max(diagonal, 0), min(diagonal + len(passage), len(ids))
-                while left > low and ids[left - 1] == passage[left - 1 - diagonal]:
-                    left -= 1
-                while right < high and ids[right] == passage[right - diagonal]:
-                    right += 1
-                done[number, diagonal] = right
-                if right - left >= self.size:
-                    found.append((left, right))
-        return found
+        begins = np.array([end for end, _ in self.automaton.iter(ids)], dtype=np.int64) - self.tile + 1
+        steps = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.add.at(steps, np.maximum(begins - (self.size - self.tile), 0), 1)
+        np.add.at(steps, begins + 1, -1)
+        start = np.flatnonzero(np.cumsum(steps)[: len(ids) - self.size + 1])
+        text = np.array(ids, dtype=np.int64)
+        key = range_hash(running(mix(text)), start, start + self.size)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = (self.keys[at] == key) & (self.first[at] < doc_id)
+        start, at = start[found], self.places[at[found]]
+        own = np.arange(self.size)
+        same = [(text[a[:, None] + own] == self.ids[b[:, None] + own]).all(1) for a, b in ((start[i : i + 4096], at[i : i + 4096]) for i in range(0, len(start), 4096))]
+        start = start[np.concatenate([*same, np.zeros(0, bool)])]
+        return [(int(x[0]), int(x[-1]) + self.size) for x in np.split(start, np.flatnonzero(np.diff(start) > self.size) + 1) if len(x)]
 
 
 def locate(rows: DataFrame, size: int) -> DataFrame:
