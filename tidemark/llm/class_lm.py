@@ -39,7 +39,7 @@ CLASSES = 48
 #: The class of the end token.
 END = 0
 #: Words that one task of a distributed round assigns, on average, and context counts that it holds at once.
-SHARD_WORDS, STEP = 250_000, 1 << 15
+SHARD_WORDS, STEP = 50_000, 1 << 14
 #: Stands for a class that is not known here.
 OTHER = 255
 U = np.uint64
@@ -242,10 +242,10 @@ def contexts(train: DataFrame, table: WordTable, shards: int) -> DataFrame:
                 codes = np.concatenate([before[place], CLASSES + 1 + after[place + 1]]).astype(np.uint8)
                 held.append(merged([(np.tile(hashes, 2), codes, np.ones(len(codes)))]))
                 size += len(held[-1][0])
-                if size > 3 << 20:
+                if size > 1 << 20:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > 2 << 20:
+                    if size > 3 << 18:
                         yield dealt(*held[0])
                         held, size = [], 0
         if held:
