@@ -40,9 +40,9 @@ from ._text import LOWERED, WORD, Piece, byte_hash, mix, owners, pieces, range_h
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
 #: Share of a token from which lines meet at pairs of tokens.
-HOT = 4096
+HOT = 512
 #: Candidates that a shared token gives a line before the last round: with one that looks similar at hand, and else.
-WITNESSES, OTHERS = 2, 16
+WITNESSES, OTHERS = 16, 512
 #: Candidates that a line keeps in all before the last round.
 KEPT = 4096
 #: Prefix entries that one task reads, on average.
