@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in market questions.
-STOPWORDS = ("a", "an", "and", "at", "be", "by", "for", "from", "if", "in", "is", "it", "of", "on", "or", "than", "that", "the", "to", "will", "with")
+#: Grammatical words of market questions.
+STOPWORDS = (
+    "a", "an", "the", "be", "is", "are", "was", "were", "been", "will", "would", "shall", "should", "can", "could", "may", "might", "must",
+    "do", "does", "did", "have", "has", "had", "of", "in", "on", "at", "to", "for", "from", "by", "with", "and", "or", "but", "if", "then",
+    "than", "as", "that", "this", "these", "those", "it", "its", "there", "any", "all", "no", "not", "more", "most", "least", "less", "who",
+    "what", "which", "when", "where", "how", "before", "after", "during", "between", "up", "down", "out", "over", "under", "vs", "v",
+)
 
 #: Latin letters with marks, and the letters they become.
 MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñý"
@@ -63,8 +68,8 @@ def capitalized_runs(text: Column) -> Column:
 
 
 def plain_name(text: Column) -> Column:
-    """Lower case, marks taken off, only letters and digits."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]", "")
+    """Lower case, marks taken off, only letters and digits of any script."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"[^\p{L}\p{N}]", "")
 
 
 def acronym(text: Column) -> Column:

@@ -110,15 +110,16 @@ def fuzzy_fixture(wanted: DataFrame, fixtures: DataFrame, tolerance: int) -> Dat
     """The fixture of each wanted match: best name tier over both orientations, then the unique nearest start.
 
     ``wanted``: match_id, a, b, starts; ``fixtures``: fixture_id, home, away, starts. A side's
-    tier is 0 for equal names, 1 for equal plain names, 2 where one begins with the other; the
-    pair's is the worse of both. Candidates share a day (or the next) and a name's first letters.
+    tier is 0 for equal names, 1 for equal plain names, 2 where one begins with the other; names
+    without letters or digits match none. The pair's is the worse of both. Candidates share a day (or the next) and a name's first letters.
     No fixture is chosen where the nearest start is not unique.
     """
     from ..functions.text import plain_name
 
     def tier(x: Column, y: Column) -> Column:
         px, py = plain_name(x), plain_name(y)
-        return F.when(x == y, 0).when(px == py, 1).when(F.startswith(px, py) | F.startswith(py, px), 2)
+        named = (px != "") & (py != "")
+        return F.when(named & (x == y), 0).when(named & (px == py), 1).when(named & (F.startswith(px, py) | F.startswith(py, px)), 2)
 
     day = lambda c, shift: F.floor(c / 86_400_000_000) + shift
     left = wanted.select("match_id", "a", "b", F.col("starts").alias("t"), F.explode(F.array(*[day(F.col("starts"), s) for s in (-1, 0, 1)])).alias("day"))

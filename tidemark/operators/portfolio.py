@@ -61,8 +61,9 @@ def settle(legs: DataFrame) -> DataFrame:
 
 
 def bets_of(settled: DataFrame) -> DataFrame:
-    """One row per bet: closed once no leg is open; pnl only then."""
-    rows = settled.groupBy("bet_id").agg(F.count("*").alias("n_legs"), F.count_if(~F.col("closed")).alias("n_open"), F.sum("stake").alias("stake"), F.sum("pnl").alias("_pnl"))
+    """One row per bet: closed once no leg is open; pnl only then. Money is added up as decimals, so that no border is missed."""
+    money = lambda name: F.sum(F.col(name).cast("decimal(18,6)")).cast("double")
+    rows = settled.groupBy("bet_id").agg(F.count("*").alias("n_legs"), F.count_if(~F.col("closed")).alias("n_open"), money("stake").alias("stake"), money("pnl").alias("_pnl"))
     return rows.select("bet_id", "n_legs", "n_open", "stake", (F.col("n_open") == 0).alias("closed"), F.when(F.col("n_open") == 0, F.col("_pnl")).alias("pnl"))
 
 

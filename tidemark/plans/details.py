@@ -205,13 +205,13 @@ def leg_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes("points", body="""
-SELECT 'agent' AS forecaster, count(p) AS n, round(avg((p - y) ** 2), 6) AS brier FROM points UNION ALL SELECT 'market', count(market), round(avg((market - y) ** 2), 6) FROM points UNION ALL SELECT 'mean', count(market), round(avg(((p + market) / 2 - y) ** 2), 6) FROM points""")
+SELECT 'agent' AS forecaster, count(p) AS n, round(avg((p - y) ** 2)::DECIMAL(18, 9), 6)::DOUBLE AS brier FROM points UNION ALL SELECT 'market', count(market), round(avg((market - y) ** 2)::DECIMAL(18, 9), 6)::DOUBLE FROM points UNION ALL SELECT 'mean', count(market), round(avg(((p + market) / 2 - y) ** 2)::DECIMAL(18, 9), 6)::DOUBLE FROM points""")
 )
 def any_forecaster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U-7: scores of any columns in one pass; S-20: a section of a report is a table."""
     f = evaluation.forecasters()
     rows = enrich.score(points(spark, sf_dir), {"agent": f["agent"], "market": f["market"], "mean": (F.col("p") + F.col("market")) / 2}, F.col("y"))
-    return rows.withColumn("brier", F.round("brier", 6))
+    return rows.withColumn("brier", F.round(F.col("brier").cast("decimal(18,9)"), 6).cast("double"))
 
 
 @query("SELECT enricher, count(*) AS n, max(as_of) AS newest FROM (SELECT 'roles' AS enricher, turn * 1000 AS as_of FROM conversations WHERE turn * 1000 <= 4000 UNION ALL SELECT 'first words', turn * 1000 FROM conversations WHERE turn = 0) GROUP BY enricher")

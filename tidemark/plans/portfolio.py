@@ -48,7 +48,7 @@ def bankroll_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes("legs", body=""", s AS (SELECT *, CASE WHEN closed THEN CASE result WHEN 'win' THEN round((1 - entry) * coalesce(shares, round(stake / entry, 4)), 6) WHEN 'void' THEN 0 ELSE -stake END END AS pnl FROM legs)
-SELECT bet_id, count(*) AS n_legs, count(*) FILTER (NOT closed) AS n_open, round(sum(stake), 2) AS stake, bool_and(closed) AS closed, round(CASE WHEN bool_and(closed) THEN sum(pnl) END, 2) AS pnl FROM s GROUP BY bet_id""")
+SELECT bet_id, count(*) AS n_legs, count(*) FILTER (NOT closed) AS n_open, round(sum(stake::DECIMAL(18, 6)), 2)::DOUBLE AS stake, bool_and(closed) AS closed, round(CASE WHEN bool_and(closed) THEN sum(pnl::DECIMAL(18, 6)) END, 2)::DOUBLE AS pnl FROM s GROUP BY bet_id""")
 )
 def bet_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-12."""

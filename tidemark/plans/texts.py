@@ -77,7 +77,7 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(found).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-_PLAIN = f"regexp_replace(translate(lower(text), '{t.MARKED}', '{t.PLAIN}'), '[^a-z0-9]', '', 'g')"
+_PLAIN = f"regexp_replace(translate(lower(text), '{t.MARKED}', '{t.PLAIN}'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
 @query(f"SELECT doc_id, length({_PLAIN})::INT AS n, md5({_PLAIN}) AS key FROM documents WHERE lang <> 'en'")

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder below the session's ``spark.checkpoint.dir``; where it is unset a temporary one, for a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
@@ -47,33 +52,56 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run the stream over all that is there and return its result table."""
+def _stored(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the parts that stand whole in a folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        return []
+    whole = [f.getPath() for f in store.listStatus(target) if store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("part-")) for p in whole)
+
+
+def _run(stream: DataFrame, mode: str, base: str, write: Callable[[DataFrame, int], None]) -> None:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str, base: str | None = None) -> DataFrame:
+    """Run the stream over all that is there and return its result, which is stored and never sent to the driver.
+
+    Each batch is a part of its own, written anew if it is repeated; in complete mode the last one is the result.
+    A later call with the same ``base`` goes on from the checkpoint there.
+    """
     spark = stream.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:12]}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", work_dir(spark, name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table)
+    base = base or work_dir(spark, name)
+    _run(stream, mode, base, lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/part-{number}"))
+    parts = _stored(spark, f"{base}/out")
+    paths = [f"{base}/out/part-{n}" for n in (parts[-1:] if mode == "complete" else parts)]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+
 
+def run_upserts(stream: DataFrame, name: str, key: str, base: str | None = None) -> DataFrame:
+    """The last row of each key: every batch merges with the newest stored version before it.
 
-def run_upserts(stream: DataFrame, name: str, key: str) -> DataFrame:
-    """The last row of each key: every batch merges with the table so far, whose versions are written in turn."""
+    The version is found in the store, so a restart with the same ``base`` goes on from the table so far,
+    and a repeated batch merges with the same version again.
+    """
     spark = stream.sparkSession
-    base = work_dir(spark, name)
-    state = {"path": None}
+    base = base or work_dir(spark, name)
+    last = lambda rows: rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
 
     def merge(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
-        if state["path"]:
-            both = batch.sparkSession.read.parquet(state["path"]).unionByName(latest)
-            latest = both.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
-        path = f"{base}/version-{number}"
-        latest.write.mode("overwrite").parquet(path)
-        state["path"] = path
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(state["path"])
+        before = [n for n in _stored(spark, f"{base}/out") if n < number]
+        rows = last(batch)
+        if before:
+            rows = last(batch.sparkSession.read.schema(stream.schema).parquet(f"{base}/out/part-{before[-1]}").unionByName(rows))
+        rows.write.mode("overwrite").parquet(f"{base}/out/part-{number}")
+
+    _run(stream, "append", base, merge)
+    parts = _stored(spark, f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/part-{parts[-1]}") if parts else spark.createDataFrame([], stream.schema)
 
 
 def late_rows(events: DataFrame, watermark: Column) -> DataFrame:
