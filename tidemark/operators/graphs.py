@@ -50,23 +50,31 @@ def similar_pairs(items: DataFrame, least: float, low_df: int = 2, high_share: f
     Without ``high_share`` the result is exact: two sets with similarity t share a token among the
     first n - ceil(t n) + 1 of each in one order, here from rare to frequent, so only these prefixes
     are joined. With it, tokens in more than that share of items do not block (auto-stopwords).
+    Sizes and the places of the shared token bound the overlap before sets are compared, and a pair
+    is compared only at the first token that its blocking sets share, so it comes out once.
     """
+    loose = least - 1e-6  # scores are rounded to six places before they are compared
     df = token_frequencies(items)
+    rows = items.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(df, "token")
+    blocks = F.lit(True)
     if high_share is not None:
         n = items.agg(F.greatest(F.lit(2), F.floor(F.count("*") * high_share)).alias("_most"))
-        df = df.crossJoin(F.broadcast(n)).filter(F.col("df").between(low_df, F.col("_most"))).drop("_most")
-    rows = items.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(df, "token")
-    ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
+        rows = rows.crossJoin(F.broadcast(n))
+        blocks = F.col("df").between(low_df, F.col("_most"))
+    entry = F.struct("df", "token")
+    ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("o"), F.sort_array(F.collect_list(F.when(blocks, entry))).alias("k"))
+    keep = F.size("o") - F.ceil(F.size("o") * F.lit(loose)).cast("int") + 1 if high_share is None else F.size("k")
+    sets = ordered.select("id", F.size("o").alias("n"), F.col("o.token").alias("o"), F.slice("k.token", F.lit(1), keep).alias("k"))
+    keyed = sets.select("id", "n", "o", "k", F.posexplode("k").alias("at", "token"))
+    a, b = (keyed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "o", "k", "at")]) for side in "ab")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(loose / (1 + loose)))
+    met = a.join(b, "token").filter(F.col("id_a") < F.col("id_b")).filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(loose))
     if high_share is None:
-        keep = F.size("o") - F.ceil(F.size("o") * F.lit(least) - 1e-9).cast("int") + 1
-        ordered = ordered.withColumn("o", F.slice("o", F.lit(1), keep))
-    keyed = ordered.select("id", F.explode("o.token").alias("token"))
-    pairs = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "token").filter("a < b").select("a", "b").distinct()
-    sets = items.select("id", F.array_distinct("tokens").alias("tokens"))
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    score = shared / (F.size("ta") + F.size("tb") - shared)
-    return both.select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+        met = met.filter(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+    shared = F.size(F.array_intersect("o_a", "o_b"))
+    first = F.element_at(F.array_intersect("k_a", "k_b"), 1) == F.col("token")
+    scored = met.filter(first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(shared / (F.col("n_a") + F.col("n_b") - shared), 6).alias("score"))
+    return scored.filter(F.col("score") >= least)
 
 
 def layer_pairs(items: DataFrame, layers: list[tuple[str, int]]) -> DataFrame:
