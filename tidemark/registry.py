@@ -6,7 +6,7 @@ import importlib
 
 from .plans._base import Query
 
-FAMILIES = ("quotes", "portfolio", "detection", "evaluation", "backtests", "texts", "digests", "graphs", "bins", "entities", "odds", "relations", "lifecycle", "streams", "details")
+FAMILIES = ("quotes", "portfolio", "detection", "evaluation", "backtests", "texts", "digests", "graphs", "bins", "entities", "odds", "relations", "lifecycle", "streams", "details", "datasets")
 
 
 def queries() -> dict[str, Query]:
