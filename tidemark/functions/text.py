@@ -23,6 +23,16 @@ def normal_form(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
 
 
+#: Typographic quotes and dashes, and the plain characters that a search takes them for.
+TYPOGRAPHIC = "‘’‛′“”″‐‑‒–—―−"
+TYPED = "\'\'\'\'\"\"\"-------"
+
+
+def search_form(text: Column) -> Column:
+    """The normal form with plain quotes and dashes. Letters with combining marks are not composed: Spark has no function for that."""
+    return normal_form(F.translate(text, TYPOGRAPHIC, TYPED))
+
+
 def pair_key(a: Column, b: Column) -> Column:
     """A key of two texts that does not depend on their order."""
     return F.md5(F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b)))
@@ -58,7 +68,8 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
 
 def entities(text: Column) -> Column:
     """Tickers, acronyms and numbers with their unit, as an array in the order of kinds."""
-    kinds = (r"(\$[A-Z]{1,6})\b", r"\b([A-Z]{2,6})\b", r"\b([0-9]+(?:\.[0-9]+)?(?:%|k|m|bn)?)(?![0-9A-Za-z])")
+    begin, end = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"  # borders of ASCII words, whatever the engine's word border is
+    kinds = (r"(\$[A-Z]{1,6})" + end, begin + "([A-Z]{2,6})" + end, begin + r"([0-9]+(?:\.[0-9]+)?(?:%|k|m|bn)?)(?![0-9A-Za-z])")
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(k), 1) for k in kinds]))
 
 
@@ -118,11 +129,19 @@ def whole_word(words: list[str]) -> str:
 
 
 def excerpt(text: Column, pattern: str, before: int, after: int) -> Column:
-    """The first match of the pattern with its neighbourhood; null without one."""
-    hit = F.regexp_extract(text, pattern, 0)
-    at = F.instr(text, hit)
-    start = F.greatest(at - before, F.lit(1))
-    return F.when(hit != "", F.substring(text, start, at - start + F.length(hit) + after))
+    """``before`` characters before the first match of the pattern to ``after`` from its beginning; null without one."""
+    at = F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1))
+    start = F.greatest(at - before, F.lit(0))
+    return F.when(F.rlike(text, F.lit(pattern)), F.substring(text, start + 1, at + after - start))
+
+
+def first_hit(fields: list[tuple[str, Column]], patterns: list[tuple[str, str]], before: int = 40, after: int = 60) -> Column:
+    """struct(field, term, excerpt) of the first match, fields before patterns; null without one."""
+    hits = [
+        F.when(F.rlike(value, F.lit(pattern)), F.struct(F.lit(name).alias("field"), F.lit(term).alias("term"), excerpt(value, pattern, before, after).alias("excerpt")))
+        for name, value in fields for pattern, term in patterns
+    ]
+    return F.coalesce(*hits)
 
 
 def best_of(text: Column) -> Column:
@@ -148,7 +167,20 @@ def quarter_label(ts: Column) -> Column:
 
 
 def first_sentences(text: Column, most: int) -> Column:
-    """Whole sentences from the beginning that fit into ``most`` characters; else the cut text."""
-    head = F.substring(text, 1, most)
-    whole = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
-    return F.when(F.length(text) <= most, text).when(whole != "", whole).otherwise(head)
+    """The beginning in ``most`` characters, white space as one space: whole sentences if they fill over half of it, else whole words and an ellipsis."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    head = F.substring(clean, 1, most)
+    whole, words = F.regexp_extract(head, "^(.*[.!?]) ", 1), F.regexp_extract(head, "^(.+) ", 1)
+    cut = F.concat(F.rtrim(F.when(words != "", words).otherwise(head)), F.lit("…"))
+    return F.when(F.length(clean) <= most, clean).when(F.length(whole) - 1 > most / 2, whole).otherwise(cut)
+
+
+def context_instant(updated: Column, unreadable: Column, as_of: Column, now: Column, tolerance: int) -> Column:
+    """struct(kind, at): source with its own instant, observation at ``as_of`` where that is now, else refuse. Instants are microseconds."""
+    kind = F.when(unreadable, "refuse").when(updated.isNotNull(), F.when(updated > as_of + tolerance, "refuse").otherwise("source")).when(F.abs(as_of - now) > tolerance, "refuse").otherwise("observation")
+    return F.struct(kind.alias("kind"), F.when(kind == "source", updated).when(kind == "observation", as_of).alias("at"))
+
+
+def skip_rewrite(last: Column, candidate: Column, kind: Column, ttl: int) -> Column:
+    """Whether a context says nothing new: the same instant of its source, or an observation younger than ``ttl`` microseconds."""
+    return F.when(last.isNull(), False).when(kind == "source", last == candidate).otherwise(candidate - last < ttl)

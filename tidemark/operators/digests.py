@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_form, pair_key
+from ..functions.text import normal_form, pair_key, search_form
 
 
 def digest_hashes(texts: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def consistency(digests: DataFrame, least: int) -> DataFrame:
 
 
 def presence(passage: Column, text: Column) -> Column:
-    """literal, spacing or absent: how a passage stands in its text."""
-    return F.when(F.contains(text, passage), "literal").when(F.contains(normal_form(text), normal_form(passage)), "spacing").otherwise("absent")
+    """literal, spacing (also other case, quotes or dashes) or absent: how a passage stands in its text."""
+    return F.when(F.contains(text, passage), "literal").when(F.contains(search_form(text), search_form(passage)), "spacing").otherwise("absent")
 
 
 def levelling_plan(texts: DataFrame, readings: DataFrame, least: int) -> DataFrame:

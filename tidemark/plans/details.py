@@ -135,12 +135,12 @@ def side_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT team, count(*) AS n FROM (SELECT s_nationkey AS team FROM supplier WHERE s_suppkey <= 60 AND (s_suppkey % 3 = 0 OR 60 < s_suppkey + 30)) GROUP BY team
+SELECT team, count(*) AS n FROM (SELECT s_nationkey AS team FROM supplier WHERE s_suppkey % 100 <= 60 AND (s_suppkey % 3 = 0 OR 60 < s_suppkey % 100 + 30)) GROUP BY team
 """)
 def roster_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-36."""
-    joined = F.col("s_suppkey")
-    left = F.when(joined % 3 != 0, joined + 30)
+    joined = F.col("s_suppkey") % 100
+    left = F.when(F.col("s_suppkey") % 3 != 0, joined + 30)
     return read(spark, sf_dir, "supplier").filter(e.active_between(joined, left, F.lit(60))).groupBy(F.col("s_nationkey").alias("team")).agg(F.count("*").alias("n"))
 
 
@@ -194,11 +194,11 @@ def discard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").withColumn("full", place).orderBy("full").limit(25).select("p_partkey", F.substring("full", 1, 8).alias("place"))
 
 
-@query("SELECT o_orderkey AS leg_id, round(o_totalprice / (0.05 + o_custkey % 9 / 10.0), 2) AS shares FROM orders WHERE o_orderkey IN (1, 5, 77, 1000, 1400)")
+@query("SELECT o_orderkey AS leg_id, round(o_totalprice / (0.05 + o_custkey % 9 / 10.0), 4) AS shares FROM orders")
 def leg_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-29, S-30, S-17, S-18: rows for a sink with known columns, looked up by key."""
-    rows = read(spark, sf_dir, "orders").filter(F.col("o_orderkey").isin(1, 5, 77, 1000, 1400)).select(
-        F.col("o_orderkey").alias("leg_id"), F.round(F.col("o_totalprice") / (0.05 + F.col("o_custkey") % 9 / F.lit(10.0)), 2).alias("shares"), F.lit(None).cast("string").alias("not_in_store")
+    """S-29, S-30, S-17, S-18: rows for a sink with known columns; shares are stake / entry to four places."""
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("leg_id"), F.round(F.col("o_totalprice") / (0.05 + F.col("o_custkey") % 9 / F.lit(10.0)), 4).alias("shares"), F.lit(None).cast("string").alias("not_in_store")
     )
     return readers.align(rows, ["leg_id", "shares", "older_column"])
 

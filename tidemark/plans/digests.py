@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import cost
-from ..functions.text import normal_form
+from ..functions.text import TYPED, TYPOGRAPHIC, first_hit
 from ..operators import digests as op
 from ..sources.tables import read
 from ._base import Family
@@ -18,7 +18,7 @@ _N = r"lower(regexp_replace(trim({}), '\s+', ' ', 'g'))"
 _BASE = f"""WITH ev AS (SELECT doc_id AS event_id, sha256(text) AS sha, n_chars * 10.0::DOUBLE AS liquidity, text FROM documents),
 fi AS (SELECT doc_id AS event_id, sha256(text) AS sha, CASE doc_id % 3 WHEN 0 THEN 'trap' WHEN 1 THEN 'contradiction' ELSE 'ambiguity' END AS kind, substr(text, 1, 80) AS passage,
   CASE WHEN doc_id % 3 = 1 THEN substr(text, 41, 80) END AS conflict, (doc_id % 4 + 1)::INT AS reading, CASE WHEN doc_id % 5 = 0 THEN 'grave' ELSE 'detail' END AS severity, CASE WHEN doc_id % 2 = 0 THEN 'scenario' END AS scenario
-  FROM documents WHERE doc_id % 10 < 7),
+  FROM documents),
 kf AS (SELECT *, CASE kind WHEN 'trap' THEN 't' WHEN 'contradiction' THEN 'c' ELSE 'a' END || '-' || CASE WHEN kind = 'contradiction' THEN md5(least({_N.format('passage')}, {_N.format('conflict')}) || '|' || greatest({_N.format('passage')}, {_N.format('conflict')})) ELSE md5({_N.format('passage')}) END AS finding FROM fi)"""
 
 
@@ -28,7 +28,7 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").filter(d % 10 < 7).select(
+    return read(spark, sf_dir, "documents").select(
         d.alias("event_id"), F.sha2("text", 256).alias("sha"), F.when(d % 3 == 0, "trap").when(d % 3 == 1, "contradiction").otherwise("ambiguity").alias("kind"),
         F.substring("text", 1, 80).alias("passage"), F.when(d % 3 == 1, F.substring("text", 41, 80)).alias("conflict"), (d % 4 + 1).cast("int").alias("reading"),
         F.when(d % 5 == 0, "grave").otherwise("detail").alias("severity"), F.when(d % 2 == 0, "scenario").alias("scenario"),
@@ -78,15 +78,18 @@ def reading_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.consistency(rows, 2)
 
 
+_SEARCH = "translate({}, '" + TYPOGRAPHIC + "', '" + TYPED.replace("'", "''") + "')"
+
+
 @query(f"""
-SELECT presence, count(*) AS n FROM (SELECT CASE WHEN contains(text, p) THEN 'literal' WHEN contains({_N.format('text')}, {_N.format('p')}) THEN 'spacing' ELSE 'absent' END AS presence
-  FROM (SELECT text, CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 60) WHEN 1 THEN upper(replace(substr(text, 11, 60), ' ', '  ')) ELSE 'no such passage anywhere' END AS p FROM documents WHERE lang = 'en')) GROUP BY presence
+SELECT presence, count(*) AS n FROM (SELECT CASE WHEN contains(text, p) THEN 'literal' WHEN contains({_N.format(_SEARCH.format('text'))}, {_N.format(_SEARCH.format('p'))}) THEN 'spacing' ELSE 'absent' END AS presence
+  FROM (SELECT text, CASE WHEN n_chars > 900 THEN substr(text, 11, 60) WHEN n_chars > 300 THEN replace(translate(substr(text, 11, 60), 'abcdefghijklmnopqrstuvwxyz-' || chr(39), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ–’'), ' ', '  ') ELSE 'no such passage anywhere' END AS p FROM documents)) GROUP BY presence
 """)
 def passage_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-47, P-22."""
-    d, part = F.col("doc_id"), F.substring("text", 11, 60)
-    passage = F.when(d % 3 == 0, part).when(d % 3 == 1, F.upper(F.replace(part, F.lit(" "), F.lit("  ")))).otherwise("no such passage anywhere")
-    rows = read(spark, sf_dir, "documents").filter("lang = 'en'").select("text", passage.alias("p"))
+    part, n = F.substring("text", 11, 60), F.col("n_chars")
+    passage = F.when(n > 900, part).when(n > 300, F.replace(F.translate(part, "abcdefghijklmnopqrstuvwxyz-'", "ABCDEFGHIJKLMNOPQRSTUVWXYZ–’"), F.lit(" "), F.lit("  "))).otherwise("no such passage anywhere")
+    rows = read(spark, sf_dir, "documents").select("text", passage.alias("p"))
     return rows.groupBy(op.presence(F.col("p"), F.col("text")).alias("presence")).agg(F.count("*").alias("n"))
 
 
@@ -138,11 +141,15 @@ def confirmation_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(op.confirmation_seal(F.col("found"), F.col("readings")).alias("seal")).agg(F.count("*").alias("n"))
 
 
-@query(f"""
-SELECT field, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, CASE WHEN regexp_matches(a, 'stupid|idiot') THEN 'head' WHEN regexp_matches(b, 'stupid|idiot') THEN 'body' END AS field FROM (SELECT doc_id, {_N.format('substr(text, 1, 200)')} AS a, {_N.format('text')} AS b FROM documents)) WHERE field IS NOT NULL GROUP BY field
-""")
+_FIELDS = "(SELECT doc_id, substr(text, 1, 200) AS head, text AS body FROM documents)"
+_EXCERPT = "substr({f}, greatest(length(regexp_extract({f}, '(?s)^(.*?)(?:{p})', 1)) - 40, 0) + 1, length(regexp_extract({f}, '(?s)^(.*?)(?:{p})', 1)) + 60 - greatest(length(regexp_extract({f}, '(?s)^(.*?)(?:{p})', 1)) - 40, 0))"
+_OPINIONS = [(r"(?i)\bidiot", "idiot"), (r"(?i)stupid", "stupid"), (r"(?i)\bworth\b", "worth")]
+_HITS = " ".join(f"WHEN regexp_matches({f}, '{p}') THEN {{{{'field': '{f}', 'term': '{t}', 'excerpt': {_EXCERPT.format(f=f, p=p)}}}}}".replace("{{", "{").replace("}}", "}") for f in ("head", "body") for p, t in _OPINIONS)
+
+
+@query(f"SELECT doc_id, h.field AS field, h.term AS term, md5(h.excerpt) AS excerpt FROM (SELECT doc_id, CASE {_HITS} END AS h FROM {_FIELDS}) WHERE h IS NOT NULL")
 def opinion_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-23: the first field in which a listed word stands."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", normal_form(F.substring("text", 1, 200)).alias("a"), normal_form(F.col("text")).alias("b"))
-    field = F.when(F.rlike("a", F.lit("stupid|idiot")), "head").when(F.rlike("b", F.lit("stupid|idiot")), "body")
-    return rows.select("doc_id", field.alias("field")).filter("field IS NOT NULL").groupBy("field").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """P-23: the first listed word in the order of fields and patterns, with its neighbourhood."""
+    hit = first_hit([("head", F.substring("text", 1, 200)), ("body", F.col("text"))], _OPINIONS)
+    rows = read(spark, sf_dir, "documents").select("doc_id", hit.alias("h")).filter("h IS NOT NULL")
+    return rows.select("doc_id", "h.field", "h.term", F.md5("h.excerpt").alias("excerpt"))

@@ -19,14 +19,14 @@ DAY = 86_400_000_000
 
 
 @query("""
-WITH b AS (SELECT o_custkey AS key, o_orderkey AS seq, o_totalprice AS amount FROM orders WHERE o_orderkey % 2 = 0), base AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
-c AS (SELECT o_custkey AS key, o_orderkey AS seq, o_totalprice AS amount FROM orders WHERE o_orderkey % 10 = 1), lc AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+WITH b AS (SELECT o_custkey AS key, o_orderkey AS seq, o_totalprice AS amount FROM orders WHERE o_orderpriority <> '1-URGENT'), base AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
+c AS (SELECT o_custkey AS key, o_orderkey AS seq, o_totalprice AS amount FROM orders WHERE o_orderpriority = '1-URGENT'), lc AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
 SELECT 'replace' AS mode, count(*) AS n, sum(seq)::BIGINT AS checksum FROM (SELECT coalesce(lc.seq, base.seq) AS seq FROM base FULL JOIN lc USING (key)) UNION ALL SELECT 'ignore', count(*), sum(seq)::BIGINT FROM (SELECT coalesce(base.seq, lc.seq) AS seq FROM base FULL JOIN lc USING (key))
 """)
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-10, S-11, S-12, S-21, S-22: the last change wins, or what exists stays."""
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("amount"))
-    base, changes = op.last_of_each(rows.filter("seq % 2 = 0"), ["key"], "seq"), rows.filter("seq % 10 = 1")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("amount"), (F.col("o_orderpriority") == "1-URGENT").alias("change"))
+    base, changes = op.last_of_each(rows.filter("NOT change").drop("change"), ["key"], "seq"), rows.filter("change").drop("change")
     total = lambda df, mode: df.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.sum("seq").alias("checksum"))
     return total(op.upsert(base, changes, ["key"], "seq"), "replace").unionByName(total(op.upsert(base, changes, ["key"], "seq", ignore=True), "ignore"))
 

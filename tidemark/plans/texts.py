@@ -61,30 +61,30 @@ _STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
 _TOKENS = f"list_distinct(list_filter(list_transform(string_split_regex(lower({{x}}), '[^a-z0-9$%.''-]+'), lambda k: trim(k, '.''-')), lambda k: k <> '' AND k NOT IN ({_STOP})))"
 
 
-@query(f"SELECT doc_id, len({_TOKENS.format(x='text')})::INT AS n_tokens, sha256(array_to_string(list_sort({_TOKENS.format(x='text')}), ' ')) AS tokens_sha FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, len({_TOKENS.format(x='text')})::INT AS n_tokens, sha256(array_to_string(list_sort({_TOKENS.format(x='text')}), ' ')) AS tokens_sha FROM documents")
 def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-21."""
-    rows = read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", t.tokens(F.col("text")).alias("tokens"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("tokens"))
     return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join(F.sort_array("tokens"), " "), 256).alias("tokens_sha"))
 
 
 @query(r"""
-SELECT entity, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(\$[A-Z]{1,6})\b', 1) || regexp_extract_all(text, '\b([A-Z]{2,6})\b', 1))) AS entity FROM documents WHERE lang = 'en') GROUP BY entity
+SELECT entity, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(\$[A-Z]{1,6})\b', 1) || regexp_extract_all(text, '\b([A-Z]{2,6})\b', 1))) AS entity FROM documents) GROUP BY entity
 """)
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-22: tickers and acronyms; numbers and capitalized runs are tested on fixtures."""
     found = F.filter(t.entities(F.col("text")), lambda e: e.rlike(r"^\$?[A-Z]+$"))
-    return read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(found).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "documents").select(F.explode(found).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 _PLAIN = f"regexp_replace(translate(lower(text), '{t.MARKED}', '{t.PLAIN}'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
-@query(f"SELECT doc_id, length({_PLAIN})::INT AS n, md5({_PLAIN}) AS key FROM documents WHERE lang <> 'en'")
+@query(f"SELECT doc_id, length({_PLAIN})::INT AS n, md5({_PLAIN}) AS key FROM documents")
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-14: marks taken off by a table."""
     name = t.plain_name(F.col("text"))
-    return read(spark, sf_dir, "documents").filter("lang <> 'en'").select("doc_id", F.length(name).alias("n"), F.md5(name).alias("key"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(name).alias("n"), F.md5(name).alias("key"))
 
 
 @query("""
@@ -178,7 +178,8 @@ def calendar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN length(text) <= 400 THEN md5(text) WHEN regexp_extract(substr(text, 1, 400), '(?s)^(.*[.!?])', 1) <> '' THEN md5(regexp_extract(substr(text, 1, 400), '(?s)^(.*[.!?])', 1)) ELSE md5(substr(text, 1, 400)) END AS head FROM documents
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents), h AS (SELECT *, substr(c, 1, 400) AS cut, regexp_extract(substr(c, 1, 400), '^(.*[.!?]) ', 1) AS whole, regexp_extract(substr(c, 1, 400), '^(.+) ', 1) AS words FROM c)
+SELECT doc_id, md5(CASE WHEN length(c) <= 400 THEN c WHEN length(whole) > 201 THEN whole ELSE rtrim(CASE WHEN words <> '' THEN words ELSE cut END) || '…' END) AS head FROM h
 """)
 def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-30."""
