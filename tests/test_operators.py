@@ -245,3 +245,66 @@ def test_the_rest_works_without_the_training_data_part(tmp_path):
         "e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_first_sentences_and_search_form(spark):
+    s = lambda v: F.lit(v).cast("string")
+    text = s("One two.  Three\nfour! Five six seven")
+    assert one(spark, t.first_sentences(text, 24), t.first_sentences(text, 80), t.first_sentences(s("abcdefgh ijklmnop"), 12)) == ("One two. Three four!", "One two. Three four! Five six seven", "abcdefgh…")
+    assert one(spark, t.search_form(s("It’s  “so” – yes")), t.search_form(s(None))) == ("it's \"so\" - yes", None)
+
+
+def test_excerpt_and_first_hit(spark):
+    s = lambda v: F.lit(v).cast("string")
+    fields = [("a", s("nothing")), ("b", s("x" * 50 + " worth it"))]
+    hit = t.first_hit(fields, [(r"(?i)\bodds\b", "odds"), (r"(?i)\bworth\b", "worth")])
+    assert one(spark, hit["field"], hit["term"], hit["excerpt"]) == ("b", "worth", "x" * 39 + " worth it")
+    assert one(spark, t.first_hit(fields[:1], [("worth", "worth")]).isNull()) == (True,)
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    draw = random.Random(5)
+    sets = [(i, sorted(draw.sample("abcdefghij", draw.randint(0, 6)))) for i in range(60)] + [(60, None), (61, ["a"]), (62, ["a"])]
+    items = spark.createDataFrame(sets, "id int, tokens array<string>")
+    for least in (0.4, 0.6, 1.0):
+        want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len({*x} & {*y}) / len({*x, *y}) >= least}
+        found = [(r.a, r.b) for r in graphs.similar_pairs(items, least).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_component_chunks(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 70_000), (70_000, 140_000), (5, 6)], "a long, b long")
+    rows = sorted(tuple(r) for r in graphs.component_chunks(pairs, 3).collect())
+    assert rows == [(1, 1, 4, 0), (2, 1, 4, 0), (5, 5, 2, 0), (6, 5, 2, 0), (70_000, 1, 4, 0), (140_000, 1, 4, 1)]
+
+
+def test_nested_odds(spark):
+    from tidemark.sources import nested
+
+    bodies = [
+        (1, '{"bookmakers":[{"key":"k","markets":[{"name":"m","price":2},{"outcomes":{"o":{"label":"x","p":[{"price":"no"},{"price":1.5,"is_active":false}]}}}]},7]}'),
+        (2, '{"bookmakers":{"s":{"price":true}}}'), (3, "no json"), (4, None), (5, "[]"), (6, '{"bookmakers":[{}]}'),
+    ]
+    rows = {tuple(r) for r in nested.odds_entries(spark.createDataFrame(bodies, "id long, body string")).collect()}
+    assert rows == {
+        (1, "k", "bookmakers.0.markets.0", "m", 2.0, None), (1, "k", "bookmakers.0.markets.1.outcomes.o.p.0", "x", None, None),
+        (1, "k", "bookmakers.0.markets.1.outcomes.o.p.1", "x", 1.5, False), (2, "s", "bookmakers.s", None, None, None),
+    }
+
+
+def test_execution_reasons_and_outcomes(spark):
+    from tidemark.operators import datasets
+
+    matches = spark.createDataFrame([(i, str(i), "A", 600_000_000) for i in range(1, 8)], "match_id int, event_id string, team string, scheduled_at long")
+    side = lambda e, o, mid, ask, tick=0: (str(e), o, tick, mid, ask, 1)
+    rows = [
+        side(1, "A", 0.6, 0.61), side(2, "A", 0.4, 0.41), side(2, "B", None, 0.6), side(3, "A", 0.4, 0.4), side(3, "B", 0.6, 0.6), side(3, "C", 0.6, 0.6),
+        side(4, "A", 0.5, 0.5), side(5, "A", None, 0.5), side(6, "A", 0.7, None), side(7, "A", 0.7, 0.7, 10**10),
+    ]
+    quotes = spark.createDataFrame(rows, "event_id string, outcome string, tick long, mid double, ask double, seq int")
+    found = {r.match_id: (r.label, r.mid, r.reason) for r in datasets.execution_prices(matches, quotes, [10], 1_000).collect()}
+    assert found == {
+        1: ("A", 0.6, None), 2: ("B", 0.6, None), 3: (None, None, "no_favourite_side"), 4: (None, None, "tie"), 5: (None, None, "no_mid"), 6: (None, None, "no_ask"), 7: (None, None, "no_snapshot"),
+    }
+    series = {r.match_id: r.series for r in datasets.series_coverage(matches.withColumn("team", F.when(F.col("match_id") == 2, "Z").otherwise(F.col("team"))), quotes.filter("event_id <> '1'"), [10], 1_000).collect()}
+    assert (series[1], series[2], series[3], series[7]) == ("no_series", "other_sides_only", "anchored", "anchorless")

@@ -124,14 +124,42 @@ def search(items: DataFrame, queries: DataFrame, most_share: float, k: int) -> D
 
 
 def subjects(items: DataFrame, least: float) -> DataFrame:
-    """(id, component, members, label): clusters of similar items, named by their most frequent tokens."""
+    """(id, component, members, label): clusters of similar items.
+
+    The label is the token of most members among those that at least two have; where it is not in all of them, the
+    second one follows and a star. Items alone have a dash, clusters without a shared token their size.
+    """
     found = connected_components(similar_pairs(items, least))
     rows = items.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
     counts = rows.select("component", "id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("component", "token").agg(F.count("*").alias("n"))
     spot = Window.partitionBy("component").orderBy(F.col("n").desc(), "token")
-    top = counts.withColumn("r", F.row_number().over(spot)).filter("r <= 2").groupBy("component").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("label"))
-    return rows.select("id", "component").join(sizes, "component").join(top, "component", "left")
+    ranked = counts.filter("n > 1").withColumn("r", F.row_number().over(spot)).filter("r <= 2")
+    top = ranked.groupBy("component").agg(F.max(F.when(F.col("r") == 1, F.struct("token", "n"))).alias("first"), F.max(F.when(F.col("r") == 2, F.col("token"))).alias("second"))
+    mixed = F.col("first.n") < F.col("members")
+    second = F.when(F.col("second").isNotNull(), F.concat(F.lit("+"), "second")).otherwise("")
+    label = (
+        F.when(F.col("members") == 1, "—").when(F.col("first").isNull(), F.concat(F.lit("grupo de "), F.col("members").cast("string"), F.lit("*")))
+        .when(mixed, F.concat(F.col("first.token"), second, F.lit("*"))).otherwise(F.col("first.token"))
+    )
+    out = rows.select("id", "component").join(sizes, "component").join(top, "component", "left")
+    return out.select("id", "component", "members", label.alias("label"))
+
+
+def component_chunks(pairs: DataFrame, most: int) -> DataFrame:
+    """(id, component, members, part): the items of each component, by id, cut into parts of at most ``most``.
+
+    Items are ranked within ranges of 65,536 ids, and ranges by their counts, so a large component is not sorted in one task.
+    """
+    found = connected_components(pairs).withColumnRenamed("node", "id")
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    span = Window.partitionBy("component", "range").orderBy("id")
+    ranges = found.withColumn("range", F.floor(F.col("id") / F.lit(1 << 16)))
+    counts = ranges.groupBy("component", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("component").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("component", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = ranges.withColumn("at", F.row_number().over(span) - 1).join(starts, ["component", "range"]).join(sizes, "component")
+    return placed.select("id", "component", "members", F.floor((F.col("start") + F.col("at")) / most).cast("int").alias("part"))
 
 
 def matched_in_order(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

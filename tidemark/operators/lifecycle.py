@@ -111,3 +111,29 @@ def orphans_by_prefix(events: DataFrame, linked: DataFrame, prefixes: Sequence[s
     hits = free.select(F.explode(F.filter(F.array(*[F.lit(p) for p in names]), lambda p: F.startswith(F.col("slug"), F.concat(p, F.lit("-"))))).alias("prefix"))
     counts = hits.groupBy("prefix").agg(F.count("*").alias("n"))
     return table.join(counts, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def retention_batch(rows: DataFrame, order: Sequence[str], size: int = 5000) -> DataFrame:
+    """The oldest ``size`` rows that :func:`deletable` gave a branch; one run deletes no more, and the next goes on from there."""
+    return rows.filter(F.col("branch").isNotNull()).orderBy(*order).limit(max(size, 1))
+
+
+def retention_counts(rows: DataFrame, events: DataFrame, patterns: Sequence[str], fallback: Sequence[str]) -> DataFrame:
+    """One row: snapshots that the whole run deletes by branch, and the events that are protected (held, or by slug)."""
+    safe = F.coalesce(F.col("held"), F.lit(False)) | F.coalesce(protected(F.col("slug"), patterns, fallback), F.lit(False))
+    kept = events.agg(F.count_if(safe).alias("protected"))
+    return rows.agg(F.count_if(F.col("branch") == "old").alias("old"), F.count_if(F.col("branch") == "finalized").alias("finalized")).crossJoin(F.broadcast(kept))
+
+
+def expired_fragments(fragments: DataFrame, as_of: int, days: int | None, size: int = 5000) -> DataFrame:
+    """The oldest ``size`` fragments by ``observed_at`` (when they came in, not what they speak of) beyond ``days``: 30 at least, 365 where unset."""
+    keep = 365 if days is None else max(days, 30)
+    return fragments.filter(F.col("observed_at") < as_of - keep * 86_400_000_000).orderBy("observed_at", "fragment_id").limit(max(size, 1))
+
+
+def with_any(items: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
+    """The first ``cap`` items that have any row, with ``capped``: whether there are more."""
+    found = items.join(rows.select(*key).distinct(), list(key), "left_semi")
+    first = found.orderBy(*order).limit(cap + 1)
+    n = first.agg((F.count("*") > cap).alias("capped"))
+    return first.orderBy(*order).limit(cap).crossJoin(F.broadcast(n))

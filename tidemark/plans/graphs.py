@@ -47,12 +47,24 @@ def title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("id").agg(F.count("*").alias("links"))
 
 
-@query(_ITEMS + """, pairs AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id <> b.id WHERE round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) >= 0.8),
-reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON r.b = p.a) SELECT a, least(a, min(b)) AS component FROM r GROUP BY a)
-SELECT id, coalesce(component, id) AS component, count(*) OVER (PARTITION BY coalesce(component, id)) AS members FROM items LEFT JOIN reach ON a = id""")
+_REACH = """, pairs AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id <> b.id WHERE round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) >= 0.6),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON r.b = p.a) SELECT a, least(a, min(b)) AS component FROM r GROUP BY a),
+cl AS (SELECT id, coalesce(component, id) AS component, count(*) OVER (PARTITION BY coalesce(component, id)) AS members, tokens FROM items LEFT JOIN reach ON a = id)"""
+
+
+@query(_ITEMS + _REACH + """, tc AS (SELECT component, token, count(*) AS n, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, token) AS r FROM (SELECT component, unnest(tokens) AS token FROM cl) GROUP BY component, token HAVING count(*) > 1),
+tp AS (SELECT component, max(token) FILTER (r = 1) AS first, max(n) FILTER (r = 1) AS n, max(token) FILTER (r = 2) AS second FROM tc GROUP BY component)
+SELECT id, component, members, CASE WHEN members = 1 THEN '—' WHEN first IS NULL THEN 'grupo de ' || members || '*' WHEN n < members THEN first || coalesce('+' || second, '') || '*' ELSE first END AS label FROM cl LEFT JOIN tp USING (component)""")
 def subject_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-6, T-8."""
-    return op.subjects(parts_as_items(spark, sf_dir), 0.8).select("id", "component", "members")
+    return op.subjects(parts_as_items(spark, sf_dir), 0.6)
+
+
+@query(_ITEMS + _REACH + """
+SELECT id, component, members, ((row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 2)::INT AS part FROM cl WHERE members > 1""")
+def component_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-3: components of similar titles, in parts of at most two."""
+    return op.component_chunks(op.similar_pairs(parts_as_items(spark, sf_dir), 0.6), 2)
 
 
 @query("""

@@ -57,11 +57,47 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN NOT held AND NOT coalesce(safe, false) AND tick < {NOW - 20 * DAY} THEN 'old' WHEN NOT held AND slug IS NOT NULL AND NOT safe AND status = 'final' AND tick < {NOW - 5 * DAY} THEN 'finalized' END AS branch, count(*) AS n, count(DISTINCT event_id) AS events FROM x GROUP BY branch""")
 )
 def retention_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-11, R-13, R-15, P-8, J-15, J-33, A-9, K-2, U-4, U-5: which rows a retention run deletes, and by which rule."""
+    """P-8, J-15, J-33, A-9, U-4: which rows a retention run deletes, and by which rule."""
     rows = op.deletable(quotes(spark, sf_dir), _events(spark, sf_dir), NOW, 20 * DAY, 5 * DAY, [], ["cs2-%", "lol-%"])
     return rows.groupBy("branch").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
 
 
+_BRANCHES = _EVENTS + f""", x AS (SELECT q.*, slug, status, coalesce(held, false) AS held, slug LIKE 'cs2-%' OR slug LIKE 'lol-%' AS safe FROM quotes q LEFT JOIN ev USING (event_id)),
+br AS (SELECT *, CASE WHEN NOT held AND NOT coalesce(safe, false) AND tick < {NOW - 20 * DAY} THEN 'old' WHEN NOT held AND slug IS NOT NULL AND NOT safe AND status = 'final' AND tick < {NOW - 5 * DAY} THEN 'finalized' END AS branch FROM x)"""
+
+
+@query(with_ctes("quotes", body=_BRANCHES + """
+SELECT event_id, outcome, tick, branch FROM br WHERE branch IS NOT NULL ORDER BY tick, seq LIMIT 300"""))
+def retention_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-11, K-2: what one run deletes, oldest first; the batch's size is the feature."""
+    rows = op.deletable(quotes(spark, sf_dir), _events(spark, sf_dir), NOW, 20 * DAY, 5 * DAY, [], ["cs2-%", "lol-%"])
+    return op.retention_batch(rows, ["tick", "seq"], 300).select("event_id", "outcome", "tick", "branch")
+
+
+@query(with_ctes("quotes", body=_BRANCHES + """
+SELECT count(*) FILTER (branch = 'old') AS old, count(*) FILTER (branch = 'finalized') AS finalized, (SELECT count(*) FROM ev WHERE held OR coalesce(slug LIKE 'cs2-%' OR slug LIKE 'lol-%', false)) AS protected FROM br"""))
+def retention_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-15, U-5: counts of a whole run, and what is protected."""
+    events, patterns = _events(spark, sf_dir), ["cs2-%", "lol-%"]
+    return op.retention_counts(op.deletable(quotes(spark, sf_dir), events, NOW, 20 * DAY, 5 * DAY, [], patterns), events, [], patterns)
+
+
+@query(with_ctes("quotes", body=f"""SELECT seq AS fragment_id, tick AS observed_at FROM quotes WHERE tick < {NOW + 20 * DAY - 30 * DAY} ORDER BY tick, seq LIMIT 250"""))
+def fragment_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-13: ten days are set, thirty are kept."""
+    rows = quotes(spark, sf_dir).select(F.col("seq").alias("fragment_id"), F.col("tick").alias("observed_at"))
+    return op.expired_fragments(rows, NOW + 20 * DAY, 10, 250)
+
+
+@query("""
+WITH f AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events)) SELECT *, (SELECT count(*) > 12 FROM f) AS capped FROM f ORDER BY c_name LIMIT 12
+""")
+def with_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-16: the first items that have any snapshot; the cap is the feature."""
+    users = read(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    return op.with_any(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), users, ["c_custkey"], ["c_name"], 12)
+
+
 @query(
     with_ctes("quotes", body=f""", h AS (SELECT tick // {DAY} AS day, count(*) AS n FROM quotes WHERE tick // {DAY} % 6 <> 0 GROUP BY 1), s AS (SELECT unnest(range(min(day), 19754 + 8)) AS day FROM h)
 SELECT day, coalesce(n, 0) AS n, CASE WHEN day < 19754 - 30 THEN CASE WHEN n IS NOT NULL THEN 'drop' END WHEN n IS NULL THEN 'create' ELSE 'keep' END AS action FROM s LEFT JOIN h USING (day) WHERE NOT (day < 19754 - 30 AND n IS NULL)""")

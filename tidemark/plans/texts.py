@@ -186,6 +186,27 @@ def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.first_sentences(F.col("text"), 400)).alias("head"))
 
 
+_CONTEXT = """WITH r AS (SELECT o_orderkey, epoch_us(o_orderdate) AS as_of, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE epoch_us(o_orderdate) + (o_custkey % 9 - 4) * 3600000000 END AS updated, o_orderpriority = '1-URGENT' AND o_totalprice < 60000 AS unreadable,
+  epoch_us(o_orderdate) + (o_custkey % 4) * 3600000000 AS now, CASE WHEN o_totalprice > 100000 THEN epoch_us(o_orderdate) - (o_custkey % 3) * 3600000000 END AS last FROM orders),
+k AS (SELECT *, CASE WHEN unreadable THEN 'refuse' WHEN updated IS NOT NULL THEN CASE WHEN updated > as_of + 3600000000 THEN 'refuse' ELSE 'source' END WHEN abs(as_of - now) > 3600000000 THEN 'refuse' ELSE 'observation' END AS kind FROM r),
+a AS (SELECT *, CASE kind WHEN 'source' THEN updated WHEN 'observation' THEN as_of END AS instant FROM k)"""
+
+
+@query(_CONTEXT + """
+SELECT kind, CASE WHEN instant IS NOT NULL THEN CASE WHEN last IS NULL THEN false WHEN kind = 'source' THEN last = instant ELSE instant - last < 5400000000 END END AS skip, count(*) AS n FROM a GROUP BY 1, 2""")
+def context_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-30: the instant that a context speaks of, and whether writing it again says anything."""
+    hour, key, at = F.lit(3_600_000_000), F.col("o_custkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    rows = read(spark, sf_dir, "orders").select(
+        at.alias("as_of"), F.when(F.col("o_orderpriority") != "5-LOW", at + (key % 9 - 4) * hour).alias("updated"), (urgent & (F.col("o_totalprice") < 60_000)).alias("unreadable"),
+        (at + key % 4 * hour).alias("now"), F.when(F.col("o_totalprice") > 100_000, at - key % 3 * hour).alias("last"),
+    )
+    rows = rows.withColumn("c", t.context_instant(F.col("updated"), F.col("unreadable"), F.col("as_of"), F.col("now"), 3_600_000_000))
+    skip = F.when(F.col("c.at").isNotNull(), t.skip_rewrite(F.col("last"), F.col("c.at"), F.col("c.kind"), 5_400_000_000))
+    return rows.groupBy("c.kind", skip.alias("skip")).agg(F.count("*").alias("n"))
+
+
 @query(
     with_ctes("points", body="""
 SELECT version, count(*) AS n, sum(y)::BIGINT AS hits, round(CASE WHEN count(*) = 0 THEN 0 ELSE greatest(0, (r + z * z / (2 * c) - z * sqrt(r * (1 - r) / c + z * z / (4 * c * c))) / (1 + z * z / c)) END, 6) AS low,
