@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where it is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+from ..sources.scratch import Stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node's links reach.
 
     Each round gives a node the smallest label of its neighbours and then its label's label, so
-    the rounds grow with the logarithm of the longest path. Rounds are checkpointed.
+    the rounds grow with the logarithm of the longest path. Rounds are written to the shared folder, and
+    those that are behind are deleted.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    both = both.union(both.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")).checkpoint()
+    links = Stored(both.union(both.select("b", "a")).distinct(), "links")
+    rows = links.table.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = Stored(rows.select("node", F.col("node").alias("old"), F.least("node", "near").alias("component")), "labels")
     while True:
-        near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low")).checkpoint()
+        now = labels.table.drop("old")
+        near = links.table.join(now, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
+        hooks = Stored(now.join(near, "node").select("node", "component", F.least("component", "near").alias("low")), "hooks")
         # a root whose member found a smaller label takes it too
-        beaten = hooked.groupBy(F.col("component").alias("node")).agg(F.min("low").alias("beaten"))
-        hooked = hooked.join(beaten, "node", "left").select("node", F.col("component").alias("old"), F.least("low", "beaten").alias("low"))
+        beaten = hooks.table.groupBy(F.col("component").alias("node")).agg(F.min("low").alias("beaten"))
+        hooked = hooks.table.join(beaten, "node", "left").select("node", F.col("component").alias("old"), F.least("low", "beaten").alias("low"))
         jump = hooked.select(F.col("node").alias("_n"), F.col("low").alias("_l"))
-        moved = hooked.join(jump, F.col("low") == F.col("_n"), "left").select("node", "old", F.least("low", "_l").alias("component")).checkpoint()
-        labels = moved.select("node", "component")
-        if not moved.filter("component <> old").head(1):
-            return labels
+        moved = Stored(hooked.join(jump, F.col("low") == F.col("_n"), "left").select("node", "old", F.least("low", "_l").alias("component")), "labels")
+        hooks.delete()
+        labels.delete()
+        labels = moved
+        if not labels.table.filter("component <> old").head(1):
+            links.delete()
+            return labels.table.drop("old")
 
 
 def token_frequencies(items: DataFrame) -> DataFrame:
@@ -51,7 +48,9 @@ def similar_pairs(items: DataFrame, least: float, low_df: int = 2, high_share: f
     first n - ceil(t n) + 1 of each in one order, here from rare to frequent, so only these prefixes
     are joined. With it, tokens in more than that share of items do not block (auto-stopwords).
     Sizes and the places of the shared token bound the overlap before sets are compared, and a pair
-    is compared only at the first token that its blocking sets share, so it comes out once.
+    is compared only at the first token that its blocking sets share, so it comes out once. The pairs of a
+    token are dealt over as many tasks as it has groups of 512 items; their number, not the bytes that
+    are shuffled, is the work, so the partitions are stated and not merged by size.
     """
     loose = least - 1e-6  # scores are rounded to six places before they are compared
     df = token_frequencies(items)
@@ -64,11 +63,16 @@ def similar_pairs(items: DataFrame, least: float, low_df: int = 2, high_share: f
     entry = F.struct("df", "token")
     ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("o"), F.sort_array(F.collect_list(F.when(blocks, entry))).alias("k"))
     keep = F.size("o") - F.ceil(F.size("o") * F.lit(loose)).cast("int") + 1 if high_share is None else F.size("k")
-    sets = ordered.select("id", F.size("o").alias("n"), F.col("o.token").alias("o"), F.slice("k.token", F.lit(1), keep).alias("k"))
-    keyed = sets.select("id", "n", "o", "k", F.posexplode("k").alias("at", "token"))
-    a, b = (keyed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "o", "k", "at")]) for side in "ab")
+    sets = ordered.select("id", F.size("o").alias("n"), F.col("o.token").alias("o"), F.slice("k", F.lit(1), keep).alias("k"))
+    keyed = sets.select("id", "n", "o", F.col("k.token").alias("k"), F.posexplode("k").alias("at", "e"))
+    keyed = keyed.select("id", "n", "o", "k", "at", "e.token", F.ceil(F.col("e.df") / 512).alias("deals"))
+    deal = {"a": F.pmod(F.xxhash64("id"), F.col("deals")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))}
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (
+        keyed.select("token", deal[side].alias("deal"), *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "o", "k", "at")]).repartition(parts, "token", "deal") for side in "ab"
+    )
     need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(loose / (1 + loose)))
-    met = a.join(b, "token").filter(F.col("id_a") < F.col("id_b")).filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(loose))
+    met = a.join(b, ["token", "deal"]).filter(F.col("id_a") < F.col("id_b")).filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(loose))
     if high_share is None:
         met = met.filter(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
     shared = F.size(F.array_intersect("o_a", "o_b"))

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; where it is unset a temporary one, for a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, f"stream-{name}")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
