@@ -41,8 +41,34 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert streams.run_upserts(spark.readStream.schema(every.schema).parquet(empty), "e", "user_id").count() == 0
 
 
+def _fixture(spark, wanted, fixtures):
+    wanted = spark.createDataFrame(wanted, "match_id long, a string, a_code string, b string, b_code string, starts long")
+    fixtures = spark.createDataFrame(fixtures, "fixture_id long, side_1 array<string>, side_2 array<string>, starts long")
+    return [tuple(r) for r in matches.fuzzy_fixture(wanted, fixtures).orderBy("match_id").collect()]
+
+
 def test_names_of_other_scripts_differ(spark):
-    wanted = spark.createDataFrame([(1, "Динамо", "Зенит", 0), (2, "--", "??", 0)], "match_id long, a string, b string, starts long")
-    fixtures = spark.createDataFrame([(7, "Спартак", "Локомотив", 0), (8, "Зенит", "динамо", 0), (9, "--", "??", 0)], "fixture_id long, home string, away string, starts long")
-    got = matches.fuzzy_fixture(wanted, fixtures, 10)
-    assert [(r.match_id, r.tier, r.fixture_id) for r in got.collect()] == [(1, 1, 8)]
+    wanted = [(1, "Динамо", None, "Зенит", None, 0), (2, "--", None, "??", None, 0), (3, None, None, None, None, 0)]
+    fixtures = [(7, ["Спартак"], ["Локомотив"], 0), (8, ["Зенит"], ["динамо"], 0), (9, ["--"], ["??"], 0), (10, None, [None], 0)]
+    assert _fixture(spark, wanted, fixtures) == [(1, 0, 8, 2)]
+
+
+def test_tiers_of_fixtures(spark):
+    day = 86_400_000_000
+    wanted = [
+        (1, "Inner Circle Esports", "inn", "Natus Vincere", "navi", 10 * day),
+        (2, "Inner Circle Prospect", "inn", "Natus Vincere", "navi", 10 * day),
+        (3, "Dendele CS", None, "Vila Nova", None, 10 * day),
+        (4, "Same Names", None, "Twice Met", None, 10 * day),
+        (5, "Last Day", None, "Of Block", None, 13 * day),
+    ]
+    fixtures = [
+        (11, ["INN"], ["NAVI"], 11 * day),  # codes of both
+        (12, ["Na'Vi"], ["IC eSports"], 9 * day),  # initials, turned
+        (13, ["Inner Circle Prospect"], ["natus vincere"], 20 * day),  # another week
+        (14, ["DENDELE"], ["Vila-Nova", None], 12 * day),
+        (15, ["Same Names"], ["Twice Met"], 9 * day),
+        (16, ["Twice Met"], ["Same Names"], 11 * day),  # equally near
+        (17, ["Last Day"], ["Of Block"], 14 * day),  # the day beside the block
+    ]
+    assert _fixture(spark, wanted, fixtures) == [(1, 2, 11, 1), (3, 1, 14, 1), (4, 0, None, None), (5, 0, 17, 1)]

@@ -106,32 +106,42 @@ def learned_roles(rows: DataFrame, least: int, purity: float) -> DataFrame:
     return out.filter((F.col("n") >= least) & (F.col("purity") >= purity))
 
 
-def fuzzy_fixture(wanted: DataFrame, fixtures: DataFrame, tolerance: int) -> DataFrame:
-    """The fixture of each wanted match: best name tier over both orientations, then the unique nearest start.
+def discovery_blocks(day: Column) -> Column:
+    """The weekly blocks (of days since 1970) whose days, one more on either side, hold ``day``."""
+    return F.sequence(F.ceil((day - 7) / 7), F.floor((day + 1) / 7))
 
-    ``wanted``: match_id, a, b, starts; ``fixtures``: fixture_id, home, away, starts. A side's
-    tier is 0 for equal names, 1 for equal plain names, 2 where one begins with the other; names
-    without letters or digits match none. The pair's is the worse of both. Candidates share a day (or the next) and a name's first letters.
-    No fixture is chosen where the nearest start is not unique.
+
+def fuzzy_fixture(wanted: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """(match_id, tier, fixture_id, side_a): the fixture of each wanted match that has candidates.
+
+    ``wanted``: match_id, a, a_code, b, b_code, starts; ``fixtures``: fixture_id, side_1 and side_2 (arrays
+    of name variants), starts. A fixture is a candidate if it starts in the match's weekly block or
+    a day beside it and both sides agree, in either order; its tier is the weaker side's (see
+    :func:`~tidemark.functions.names.side_tier`), ``side_a`` the side that team A is. The best tier wins, then
+    the nearest start; where two are equally near fixture_id and side_a are null. Rows without a start have no candidates.
+    Candidates meet by equality of the block and of a key of team A's name, which every tier shares.
     """
-    from ..functions.text import plain_name
-
-    def tier(x: Column, y: Column) -> Column:
-        px, py = plain_name(x), plain_name(y)
-        named = (px != "") & (py != "")
-        return F.when(named & (x == y), 0).when(named & (px == py), 1).when(named & (F.startswith(px, py) | F.startswith(py, px)), 2)
-
-    day = lambda c, shift: F.floor(c / 86_400_000_000) + shift
-    left = wanted.select("match_id", "a", "b", F.col("starts").alias("t"), F.explode(F.array(*[day(F.col("starts"), s) for s in (-1, 0, 1)])).alias("day"))
-    left = left.withColumn("block", F.substring(plain_name(F.col("a")), 1, 2))
-    sides = fixtures.select("fixture_id", F.col("starts").alias("u"), day(F.col("starts"), 0).alias("day"), F.inline(F.array(F.struct(F.col("home").alias("x"), F.col("away").alias("y")), F.struct(F.col("away").alias("x"), F.col("home").alias("y")))))
-    sides = sides.withColumn("block", F.substring(plain_name(F.col("x")), 1, 2))
-    pairs = left.join(sides, ["day", "block"]).withColumn("gap", F.abs(F.col("t") - F.col("u"))).filter(F.col("gap") <= tolerance)
-    ta, tb = tier(F.col("a"), F.col("x")), tier(F.col("b"), F.col("y"))
-    pairs = pairs.withColumn("tier", F.when(ta.isNotNull() & tb.isNotNull(), F.greatest(ta, tb))).filter("tier IS NOT NULL")
-    best = pairs.groupBy("match_id").agg(F.min(F.struct("tier", "gap")).alias("m"))
-    at_best = pairs.join(best, "match_id").filter((F.col("tier") == F.col("m.tier")) & (F.col("gap") == F.col("m.gap")))
-    return at_best.groupBy("match_id", "m.tier").agg(F.count_distinct("fixture_id").alias("n"), F.min("fixture_id").alias("f")).select("match_id", "tier", F.when(F.col("n") == 1, F.col("f")).alias("fixture_id"))
+    from ..functions.names import name_forms, our_keys, side_tier, their_keys
+
+    day = F.floor(F.col("starts") / 86_400_000_000)
+    left = wanted.filter("starts IS NOT NULL").select(
+        "match_id", F.col("starts").alias("t"), F.floor(day / 7).alias("block"), name_forms(F.col("a")).alias("a"), "a_code", name_forms(F.col("b")).alias("b"), "b_code"
+    )
+    forms = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), name_forms)
+    sides = fixtures.filter("starts IS NOT NULL").select("fixture_id", F.col("starts").alias("u"), discovery_blocks(day).alias("blocks"), forms("side_1").alias("one"), forms("side_2").alias("two"))
+    turn = lambda n, x, y: F.struct(F.lit(n).alias("side_a"), F.col(x).alias("x"), F.col(y).alias("y"))
+    sides = sides.select("fixture_id", "u", "blocks", F.inline(F.array(turn(1, "one", "two"), turn(2, "two", "one"))))
+    ours = left.select("match_id", "block", F.explode(our_keys(F.col("a"), F.col("a_code"))).alias("key"))
+    theirs = sides.select("fixture_id", "side_a", "blocks", F.explode(their_keys(F.col("x"))).alias("key")).withColumn("block", F.explode("blocks")).drop("blocks")
+    met = ours.join(theirs, ["block", "key"]).select("match_id", "fixture_id", "side_a").distinct()
+    pairs = met.join(left, "match_id").join(sides, ["fixture_id", "side_a"])
+    ta, tb = side_tier(F.col("a"), F.col("a_code"), F.col("x")), side_tier(F.col("b"), F.col("b_code"), F.col("y"))
+    agreed = pairs.select("match_id", "fixture_id", "side_a", F.abs(F.col("t") - F.col("u")).alias("gap"), F.when(ta.isNotNull() & tb.isNotNull(), F.greatest(ta, tb)).alias("tier")).filter("tier IS NOT NULL")
+    per = agreed.groupBy("match_id", "fixture_id").agg(F.min(F.struct("side_a", "tier", "gap")).alias("f")).select("match_id", "fixture_id", "f.*")
+    level = per.groupBy("match_id", "tier", "gap").agg(F.count("*").alias("n"), F.min(F.struct("fixture_id", "side_a")).alias("f"))
+    best = level.groupBy("match_id").agg(F.min(F.struct("tier", "gap", "n", "f")).alias("m"))
+    alone = lambda c: F.when(F.col("m.n") == 1, F.col("m.f." + c)).alias(c)
+    return best.select("match_id", F.col("m.tier").alias("tier"), alone("fixture_id"), alone("side_a"))
 
 
 def due_checkpoints(matches: DataFrame, minutes: list[int], as_of: int, tolerance: int) -> DataFrame:

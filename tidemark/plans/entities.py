@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matches as op
@@ -113,24 +113,69 @@ def learned_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.learned_roles(rows, 5, 0.55).withColumn("purity", F.round("purity", 6))
 
 
-@query("""
-WITH f AS (SELECT o_orderkey AS fixture_id, 'Team ' || (o_custkey % 40) AS home, 'Club ' || (o_orderkey % 30) AS away, epoch_us(o_orderdate) AS starts FROM orders WHERE o_orderkey % 4 = 1),
-w AS (SELECT o_orderkey AS match_id, CASE WHEN o_orderkey % 3 = 0 THEN 'team' || (o_custkey % 40) ELSE 'Team ' || (o_custkey % 40) END AS a, 'Club ' || (o_orderkey % 30) AS b, epoch_us(o_orderdate) + 3600000000 AS starts FROM orders WHERE o_orderkey % 4 = 3),
-s AS (SELECT fixture_id, home AS x, away AS y, starts FROM f UNION ALL SELECT fixture_id, away, home, starts FROM f),
-n AS (SELECT match_id, fixture_id, abs(w.starts - s.starts) AS gap, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') AS pa, regexp_replace(lower(b), '[^a-z0-9]', '', 'g') AS pb, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS px, regexp_replace(lower(y), '[^a-z0-9]', '', 'g') AS py, a, b, x, y FROM w JOIN s ON abs(w.starts - s.starts) <= 86400000000),
-t AS (SELECT match_id, fixture_id, gap, CASE WHEN a = x THEN 0 WHEN pa = px THEN 1 WHEN starts_with(pa, px) OR starts_with(px, pa) THEN 2 END AS ta, CASE WHEN b = y THEN 0 WHEN pb = py THEN 1 WHEN starts_with(pb, py) OR starts_with(py, pb) THEN 2 END AS tb FROM n),
-p AS (SELECT match_id, fixture_id, gap, greatest(ta, tb) AS tier FROM t WHERE ta IS NOT NULL AND tb IS NOT NULL), q AS (SELECT * FROM p QUALIFY rank() OVER (PARTITION BY match_id ORDER BY tier, gap) = 1)
-SELECT match_id, any_value(tier)::INT AS tier, CASE WHEN count(DISTINCT fixture_id) = 1 THEN min(fixture_id) END AS fixture_id FROM q GROUP BY match_id
+_CLUBS = ["Silver Foxes", "North Harbour", "Red Comet", "Iron Valley", "Quiet Storm", "Océan Nine", "Blue Lantern", "Paper Tigers", "Silver Falcons", "Team"]
+
+
+def _names_sql(club: str, form: str) -> str:
+    """A club's name in one of eight spellings."""
+    return f"""CASE {form} WHEN 0 THEN {club} WHEN 1 THEN upper({club}) || ' eSports' WHEN 2 THEN {club} || ' Academy' WHEN 3 THEN regexp_replace({club}, '[aeiou ]', '', 'g')
+  WHEN 4 THEN 'The ' || {club} WHEN 5 THEN substr({club}, 1, 1) || substr(split_part({club}, ' ', 2), 1, 1) WHEN 6 THEN '' ELSE 'Roster ' || substr({club}, 1, 1) END"""
+
+
+def _name(club: Column, form: Column) -> Column:
+    spellings = [
+        club, F.concat(F.upper(club), F.lit(" eSports")), F.concat(club, F.lit(" Academy")), F.regexp_replace(club, "[aeiou ]", ""),
+        F.concat(F.lit("The "), club), F.concat(F.substring(club, 1, 1), F.substring(F.split_part(club, F.lit(" "), F.lit(2)), 1, 1)), F.lit(""),
+    ]
+    out = F.concat(F.lit("Roster "), F.substring(club, 1, 1))
+    for i, spelling in enumerate(spellings):
+        out = F.when(form == i, spelling).otherwise(out)
+    return out
+
+
+def _tier_sql(side: str, theirs: str) -> str:
+    """The tier of a side against a list of variants, by the definitions alone."""
+    words = lambda x: f"list_filter(string_split_regex(translate(lower({x}), 'é', 'e'), '[^a-z0-9]+'), lambda w: w <> '')"
+    bare = lambda x: f"list_filter({words(x)}, lambda w: w NOT IN ('esports', 'esport', 'gaming', 'team', 'club', 'org', 'cs', 'cs2', 'csgo', 'gg', 'the'))"
+    plain = lambda x: f"array_to_string({words(x)}, '')"
+    canon = lambda x: f"array_to_string(CASE WHEN len({bare(x)}) > 0 THEN {bare(x)} ELSE {words(x)} END, '')"
+    first = lambda x: f"coalesce(array_to_string(list_transform({bare(x)}, lambda w: substr(w, 1, 1)), ''), '')"
+    marks = lambda x: f"array_to_string(list_filter({words(x)}, lambda w: w IN ('academy', 'b')), ',')"
+    inside = lambda s, l: f"(length({s}) >= 3 AND length({s}) < length({l}) AND regexp_matches({l}, array_to_string(string_split({s}, ''), '.*')))"
+    o, v = f"{side}", "v"
+    usable = f"{plain(v)} <> '' AND {marks(v)} = {marks(o)}"
+    any_of = lambda test: f"len(list_filter({theirs}, lambda v: {usable} AND {test})) > 0"
+    short = f"length({canon(v)}) >= 2 AND ((length({first(o)}) >= 2 AND {canon(v)} = {first(o)}) OR (length({canon(o)}) >= 2 AND {first(v)} = {canon(o)}) OR {inside(canon(o), canon(v))} OR {inside(canon(v), canon(o))})"
+    return f"""CASE WHEN {plain(o)} = '' THEN NULL WHEN {any_of(f"{plain(v)} = {plain(o)}")} THEN 0 WHEN {any_of(f"{canon(v)} = {canon(o)}")} THEN 1 WHEN {marks(o)} <> '' THEN NULL
+  WHEN length(trim({side}_code)) >= 2 AND {any_of(f"{plain(v)} = {plain(side + '_code')}")} THEN 2 WHEN {any_of(short)} THEN 3 END"""
+
+
+@query(f"""
+WITH n AS (SELECT {_CLUBS!r} AS clubs),
+f AS (SELECT o_orderkey AS fixture_id, epoch_us(o_orderdate) AS u, clubs[o_custkey % 10 + 1] AS p, clubs[(o_custkey + 1 + o_orderkey % 3) % 10 + 1] AS q FROM orders, n WHERE o_orderkey % 4 = 1),
+v AS (SELECT fixture_id, u, [{_names_sql("p", "fixture_id // 4 % 8")}, upper(substr(p, 1, 3))] AS one, CASE WHEN fixture_id % 5 <> 0 THEN [{_names_sql("q", "fixture_id // 32 % 6")}, upper(substr(q, 1, 3))] ELSE [q] END AS two FROM f),
+w AS (SELECT o_orderkey AS match_id, epoch_us(o_orderdate) + 3600000000 AS t, clubs[o_custkey % 10 + 1] AS p, clubs[(o_custkey + 1 + o_orderkey % 3) % 10 + 1] AS q FROM orders, n WHERE o_orderkey % 4 = 3),
+m AS (SELECT match_id, t, {_names_sql("p", "match_id // 4 % 8")} AS a, lower(substr(p, 1, 3)) AS a_code, {_names_sql("q", "match_id // 32 % 8")} AS b, CASE WHEN match_id % 3 = 0 THEN substr(q, 1, 3) END AS b_code FROM w),
+s AS (SELECT fixture_id, u, 1 AS side_a, one AS x, two AS y FROM v UNION ALL SELECT fixture_id, u, 2, two, one FROM v),
+c AS (SELECT match_id, fixture_id, side_a, abs(t - u) AS gap, {_tier_sql("a", "x")} AS ta, {_tier_sql("b", "y")} AS tb
+  FROM m JOIN (SELECT *, u // 86400000000 AS d FROM s) s ON d BETWEEN t // 86400000000 // 7 * 7 - 1 AND t // 86400000000 // 7 * 7 + 7),
+e AS (SELECT match_id, fixture_id, min(side_a) AS side_a, arg_min(greatest(ta, tb), side_a) AS tier, any_value(gap) AS gap FROM c WHERE ta IS NOT NULL AND tb IS NOT NULL GROUP BY ALL),
+z AS (SELECT * FROM e QUALIFY rank() OVER (PARTITION BY match_id ORDER BY tier, gap) = 1)
+SELECT match_id, any_value(tier)::INT AS tier, CASE WHEN count(*) = 1 THEN min(fixture_id) END AS fixture_id, CASE WHEN count(*) = 1 THEN min(side_a) END::INT AS side_a FROM z GROUP BY match_id
 """)
 def fuzzy_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-23, J-25, S-28."""
-    k, c = F.col("o_orderkey"), (F.col("o_custkey") % 40).cast("string")
-    orders = read(spark, sf_dir, "orders")
-    club = F.concat(F.lit("Club "), (k % 30).cast("string"))
-    fixtures = orders.filter(k % 4 == 1).select(k.alias("fixture_id"), F.concat(F.lit("Team "), c).alias("home"), club.alias("away"), micros("o_orderdate").alias("starts"))
-    name = F.when(k % 3 == 0, F.concat(F.lit("team"), c)).otherwise(F.concat(F.lit("Team "), c))
-    wanted = orders.filter(k % 4 == 3).select(k.alias("match_id"), name.alias("a"), club.alias("b"), (micros("o_orderdate") + 3_600_000_000).alias("starts"))
-    return op.fuzzy_fixture(wanted, fixtures, 86_400_000_000)
+    """J-23, J-25, F-15: fixtures by names in several spellings."""
+    k, names = F.col("o_orderkey"), F.array(*[F.lit(c) for c in _CLUBS])
+    club = lambda place: F.get(names, (place % 10).cast("int"))
+    orders = read(spark, sf_dir, "orders").withColumn("p", club(F.col("o_custkey"))).withColumn("q", club(F.col("o_custkey") + 1 + k % 3))
+    p, q, starts, part = F.col("p"), F.col("q"), micros("o_orderdate"), lambda shift: F.floor(k / shift)
+    start = lambda c: F.substring(c, 1, 3)
+    two = F.when(k % 5 != 0, F.array(_name(q, part(32) % 6), F.upper(start(q)))).otherwise(F.array(q))
+    fixtures = orders.filter(k % 4 == 1).select(k.alias("fixture_id"), F.array(_name(p, part(4) % 8), F.upper(start(p))).alias("side_1"), two.alias("side_2"), starts.alias("starts"))
+    wanted = orders.filter(k % 4 == 3).select(
+        k.alias("match_id"), _name(p, part(4) % 8).alias("a"), F.lower(start(p)).alias("a_code"), _name(q, part(32) % 8).alias("b"), F.when(k % 3 == 0, start(q)).alias("b_code"), (starts + 3_600_000_000).alias("starts")
+    )
+    return op.fuzzy_fixture(wanted, fixtures)
 
 
 @query("""
