@@ -106,9 +106,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, span: i
     # rows that clash in this hash share their candidates, which are compared in each row's own words
     tokens = stored(docs.select(F.xxhash64("doc_id", "text").alias("_tidemark_key"), "doc_id", words(F.col("text")).alias("words")), "tokens")
     found = candidates(tokens.select("_tidemark_key", "words"), benchmark, size, span)
+    # a text is shuffled as one string, which takes a fraction of an array's bytes: no word has a space
+    lines = tokens.select("_tidemark_key", "doc_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("line"))
     # always a merge join: the candidates grow with the documents, so the plan must not change with their size
-    rows = tokens.join(found.hint("merge"), "_tidemark_key", "left")
-    return matched(rows.select("doc_id", "words", F.col("_tidemark_at").alias("at")), size, span)
+    rows = lines.join(found.hint("merge"), "_tidemark_key", "left")
+    again = F.when(F.col("_tidemark_at").isNotNull(), F.split("line", " "))
+    return matched(rows.select("doc_id", "n_words", again.alias("words"), F.col("_tidemark_at").alias("at")), size, span)
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, size: int, span: int | None) -> DataFrame:
@@ -148,7 +151,7 @@ def _near(words: str, size: int, span: int, item: Column, place: Column) -> Colu
 
 
 def matched(rows: DataFrame, size: int, span: int) -> DataFrame:
-    """The result columns of rows (doc_id, words, at): candidates compared in the words themselves."""
+    """The result columns of rows (doc_id, n_words, words, at): candidates compared in the words themselves; ``words`` may be null without them."""
 
     def spans(a: Column) -> Column:
         there = F.filter(a["places"], lambda p: ~p["near"] & _stands("words", size, a, p))
@@ -164,7 +167,7 @@ def matched(rows: DataFrame, size: int, span: int) -> DataFrame:
     rows = rows.withColumn("per_item", F.coalesce(per_item, none))
     names = lambda chosen: F.array_sort(F.array_compact(F.array_distinct(F.transform(F.filter("per_item", chosen), lambda x: x["item_id"]))))
     rows = rows.select(
-        "doc_id", F.size("words").alias("n_words"),
+        "doc_id", "n_words",
         F.array_sort(F.array_distinct(F.flatten(F.col("per_item.spans")))).alias("hits"),
         names(lambda x: F.size(x["spans"]) > 0).alias("items"), F.size(names(lambda x: x["near"])).cast("long").alias("n_near_items"),
     )
