@@ -308,3 +308,8 @@ def test_execution_reasons_and_outcomes(spark):
     }
     series = {r.match_id: r.series for r in datasets.series_coverage(matches.withColumn("team", F.when(F.col("match_id") == 2, "Z").otherwise(F.col("team"))), quotes.filter("event_id <> '1'"), [10], 1_000).collect()}
     assert (series[1], series[2], series[3], series[7]) == ("no_series", "other_sides_only", "anchored", "anchorless")
+
+
+def test_conjunction_of_one_market_is_untestable(spark):
+    v = lambda *o: one(spark, relations.verdict(F.lit("conjunction"), F.array(*[F.lit(x).cast("boolean") for x in o])))[0]
+    assert [v(True), v(False), v(True, True), v(True, False), v(False, False)] == ["untestable", "untestable", "confirmed", "refuted", "confirmed"]

@@ -24,10 +24,13 @@ def problems(kind: Column, labels: Column, known: Column, confidence: Column) ->
 
 
 def verdict(kind: Column, outcomes: Column) -> Column:
-    """confirmed, refuted or untestable: what the outcomes (booleans in the relation's order) say; a null is untestable."""
+    """confirmed, refuted or untestable: what the outcomes (booleans in the relation's order) say; a null is untestable.
+
+    So is a conjunction of one market, which has no parts to be compared with.
+    """
     yes = F.size(F.filter(outcomes, lambda x: x))
     first, last = F.element_at(outcomes, 1), F.element_at(outcomes, -1)
-    rest = F.forall(F.slice(outcomes, F.lit(2), F.size(outcomes)), lambda x: x)
+    rest = F.when(F.size(outcomes) > 1, F.forall(F.slice(outcomes, F.lit(2), F.size(outcomes)), lambda x: x))
     holds = (
         F.when(kind == "implies", ~first | last).when(kind == "excludes", yes <= 1).when(kind == "partitions", yes == 1).when(kind == "equals", first == last)
         .when(kind == "conjunction", first == rest)
