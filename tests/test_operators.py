@@ -313,3 +313,11 @@ def test_execution_reasons_and_outcomes(spark):
 def test_conjunction_of_one_market_is_untestable(spark):
     v = lambda *o: one(spark, relations.verdict(F.lit("conjunction"), F.array(*[F.lit(x).cast("boolean") for x in o])))[0]
     assert [v(True), v(False), v(True, True), v(True, False), v(False, False)] == ["untestable", "untestable", "confirmed", "refuted", "confirmed"]
+
+
+def test_refutation_rates_with_customers_of_one_order(spark, tmp_path):
+    from tidemark import registry
+
+    spark.createDataFrame([(1, 4, "F"), (2, 10, "O"), (3, 6, "F"), (4, 6, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = {r.kind: (r.n, r.refuted) for r in registry.queries()["refutation_rates"](spark, str(tmp_path)).collect()}
+    assert rows == {"conjunction": (0, 0), "implies": (1, 1)}
