@@ -321,3 +321,7 @@ def test_refutation_rates_with_customers_of_one_order(spark, tmp_path):
     spark.createDataFrame([(1, 4, "F"), (2, 10, "O"), (3, 6, "F"), (4, 6, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     rows = {r.kind: (r.n, r.refuted) for r in registry.queries()["refutation_rates"](spark, str(tmp_path)).collect()}
     assert rows == {"conjunction": (0, 0), "implies": (1, 1)}
+
+
+def test_stakes_are_rounded_as_in_sql(spark):
+    assert one(spark, sizing.stake(F.lit(1899.75), F.lit(0.4) * 10, 0.05)) == (37.99,)

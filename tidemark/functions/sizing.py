@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def scaled_round(value: Column, places: int) -> Column:
+    """``value`` times a power of ten, rounded half away from zero and divided again.
+
+    So SQL engines round doubles. ``F.round`` rounds the shortest decimal text instead, which differs where that ends in a 5 and the product is not a half.
+    """
+    return F.round(value * F.lit(float(10**places)), 0) / F.lit(float(10**places))
+
+
 def basket_edge(total: Column, members: Column, fee: Column | None = None) -> Column:
     """Percent edge of a basket whose prices add up to ``total``.
 
@@ -33,7 +41,7 @@ def kelly(p: Column, odds: Column, fraction: float, cap: float) -> Column:
 
 def stake(bankroll: Column, edge: Column, cap: float) -> Column:
     """Half a unit at least; else the bankroll's share edge / 200, at most ``cap``, to two places."""
-    return F.greatest(F.lit(0.5), F.round(bankroll * F.least(F.lit(cap), edge / 200), 2))
+    return F.greatest(F.lit(0.5), scaled_round(bankroll * F.least(F.lit(cap), edge / 200), 2))
 
 
 def least_bankroll(legs: Column, cap: float, factor: float) -> Column:
