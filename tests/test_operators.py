@@ -350,3 +350,8 @@ def _copied_titles(spark):
     """20,000 copies of one title, two of another that is similar, one title alone."""
     copy = F.when(F.col("id") < 20_000, F.array(*map(F.lit, "abcde"))).when(F.col("id") < 20_002, F.array(*map(F.lit, "abcdf"))).otherwise(F.array(F.lit("q")))
     return spark.range(20_003).select("id", copy.alias("tokens"))
+
+
+def test_links_of_copies_are_counted_by_classes(spark):
+    rows = {(r.id >= 20_000, r.links) for r in graphs.link_counts(_copied_titles(spark), 0.6).collect()}
+    assert rows == {(False, 20_001), (True, 20_001)}

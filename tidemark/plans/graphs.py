@@ -42,9 +42,7 @@ def indexed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ITEMS + """, pairs AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id <> b.id WHERE round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) >= 0.6) SELECT a AS id, count(*) AS links FROM pairs GROUP BY a""")
 def title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-9: links per item."""
-    pairs = op.similar_pairs(parts_as_items(spark, sf_dir), 0.6)
-    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    return both.groupBy("id").agg(F.count("*").alias("links"))
+    return op.link_counts(parts_as_items(spark, sf_dir), 0.6)
 
 
 _REACH = """, pairs AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id <> b.id WHERE round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) >= 0.6),
