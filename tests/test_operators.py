@@ -355,3 +355,8 @@ def _copied_titles(spark):
 def test_links_of_copies_are_counted_by_classes(spark):
     rows = {(r.id >= 20_000, r.links) for r in graphs.link_counts(_copied_titles(spark), 0.6).collect()}
     assert rows == {(False, 20_001), (True, 20_001)}
+
+
+def test_chunks_of_copies(spark):
+    rows = {r.id: (r.component, r.members, r.part) for r in graphs.similar_chunks(_copied_titles(spark), 0.6, 2).collect()}
+    assert rows == {i: (0, 20_002, i // 2) for i in range(20_002)}

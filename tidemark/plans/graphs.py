@@ -62,7 +62,7 @@ def subject_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, component, members, ((row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 2)::INT AS part FROM cl WHERE members > 1""")
 def component_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-3: components of similar titles, in parts of at most two."""
-    return op.component_chunks(op.similar_pairs(parts_as_items(spark, sf_dir), 0.6), 2)
+    return op.similar_chunks(parts_as_items(spark, sf_dir), 0.6, 2)
 
 
 @query("""
