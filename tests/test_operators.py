@@ -360,3 +360,8 @@ def test_links_of_copies_are_counted_by_classes(spark):
 def test_chunks_of_copies(spark):
     rows = {r.id: (r.component, r.members, r.part) for r in graphs.similar_chunks(_copied_titles(spark), 0.6, 2).collect()}
     assert rows == {i: (0, 20_002, i // 2) for i in range(20_002)}
+
+
+def test_subjects_of_copies(spark):
+    rows = {(r.id == 20_002, r.component, r.members, r.label) for r in graphs.subjects(_copied_titles(spark), 0.6).collect()}
+    assert rows == {(False, 0, 20_002, "a"), (True, 20_002, 1, "—")}
