@@ -365,3 +365,15 @@ def test_chunks_of_copies(spark):
 def test_subjects_of_copies(spark):
     rows = {(r.id == 20_002, r.component, r.members, r.label) for r in graphs.subjects(_copied_titles(spark), 0.6).collect()}
     assert rows == {(False, 0, 20_002, "a"), (True, 20_002, 1, "—")}
+
+
+def test_search_among_copies(spark):
+    """Every item is a query: 4,000 copies of one title beside 4,000 of another have 32 million hits, but one pair of kinds."""
+    words = F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c")))
+    items = spark.range(8000).select("id", words.alias("tokens")).unionByName(spark.createDataFrame([(9000, ["c", "d"])], "id long, tokens array<string>"))
+    found = {}
+    for r in graphs.search(items, items, 0.6, 3).collect():
+        found.setdefault(r.query, []).append((r.rank, r.id, r.score))
+    assert len(found) == 8001
+    assert all(sorted(v) == [(1, q % 2, 1.0), (2, q % 2 + 2, 1.0), (3, q % 2 + 4, 1.0)] for q, v in found.items() if q < 9000)
+    assert [(r, i) for r, i, _ in sorted(found[9000])] == [(1, 9000), (2, 1), (3, 3)]
