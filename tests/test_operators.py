@@ -391,3 +391,12 @@ def test_fixtures_of_equal_names_are_counted_not_paired(spark):
     wanted = spark.range(20_000).select(F.col("id").alias("match_id"), F.lit("silver foxes").alias("a"), none.alias("a_code"), F.lit("The Red Comet").alias("b"), none.alias("b_code"), at.cast("long").alias("starts"))
     found = matches.fuzzy_fixture(wanted, fixtures).groupBy(F.col("match_id") % 2, "tier", "fixture_id", "side_a").count().collect()
     assert {tuple(r) for r in found} == {(0, 1, 7, 2, 10_000), (1, 1, None, None, 10_000)}
+
+
+def test_candidates_among_copies_of_frequent_tokens(spark):
+    """30 copies share a token that blocks and 2,000 copies of another title only frequent ones, which must not meet."""
+    common = [F.lit(x) for x in "abcd"]
+    words = F.when(F.col("id") < 30, F.array(*common, F.lit("rare"))).when(F.col("id") < 31, F.array(F.lit("rare"), *common[:2])).otherwise(F.array(*common))
+    rows = graphs.similar_pairs(spark.range(2031).select("id", words.alias("tokens")), 0.4, 2, 0.02).collect()
+    assert {(r.a, r.b, r.score) for r in rows} == {(a, b, 1.0) for a in range(30) for b in range(a + 1, 30)} | {(a, 30, 0.6) for a in range(30)}
+    assert len(rows) == 465
