@@ -400,3 +400,18 @@ def test_candidates_among_copies_of_frequent_tokens(spark):
     rows = graphs.similar_pairs(spark.range(2031).select("id", words.alias("tokens")), 0.4, 2, 0.02).collect()
     assert {(r.a, r.b, r.score) for r in rows} == {(a, b, 1.0) for a in range(30) for b in range(a + 1, 30)} | {(a, 30, 0.6) for a in range(30)}
     assert len(rows) == 465
+
+
+def test_refutation_rates_with_orders_without_keys(spark, tmp_path):
+    """SQL lists null keys last, so an order without a key is a market without an outcome."""
+    import duckdb
+
+    from tidemark import registry
+
+    rows = [(1, 4, "F"), (2, 4, "F"), (None, 4, "F"), (3, 6, "F"), (None, 6, "O"), (4, 10, "F"), (5, 10, "F"), (6, None, "F"), (None, None, "O")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("relation_verdicts", "refutation_rates"):
+        got = sorted(map(repr, map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())))
+        assert got == sorted(map(repr, duck.sql(registry.oracle_sql()[name]).fetchall()))

@@ -39,7 +39,10 @@ def verdict(kind: Column, outcomes: Column) -> Column:
 
 
 def with_outcomes(relations: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Relations (relation_id, kind, labels) with their labels' outcomes in order; a label without one is null."""
-    rows = relations.select("relation_id", F.posexplode("labels").alias("i", "label")).join(outcomes, "label", "left")
-    gathered = rows.groupBy("relation_id").agg(F.sort_array(F.collect_list(F.struct("i", "outcome"))).alias("o"))
-    return relations.join(gathered.select("relation_id", F.col("o.outcome").alias("outcomes")), "relation_id")
+    """(relation_id, kind, outcomes) of relations (relation_id, kind, labels): their labels' outcomes in order; a label without one is null.
+
+    A relation without an id is one too, and so is a null label a label.
+    """
+    rows = relations.select("relation_id", "kind", F.posexplode("labels").alias("i", "label")).join(outcomes, "label", "left")
+    gathered = rows.groupBy("relation_id", "kind").agg(F.sort_array(F.collect_list(F.struct("i", "outcome"))).alias("o"))
+    return gathered.select("relation_id", "kind", F.col("o.outcome").alias("outcomes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizing import wilson
+from ..functions.sizing import scaled_round, wilson
 from ..operators import relations as op
 from ..sources.tables import read
 from ._base import Family
@@ -21,7 +21,9 @@ def relations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")
     orders = read(spark, sf_dir, "orders")
     kind = F.when(c % 6 == 0, "implies").when(c % 6 == 1, "excludes").when(c % 6 == 2, "partitions").when(c % 6 == 3, "equals").when(c % 6 == 4, "conjunction").otherwise("other")
-    rows = orders.groupBy("o_custkey").agg(F.slice(F.sort_array(F.collect_list("o_orderkey")), 1, 3).alias("l")).select(c.alias("relation_id"), kind.alias("kind"), "l")
+    # collect_list leaves nulls out, which SQL lists last
+    keys = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").isNull().alias("none"), F.col("o_orderkey").alias("key"))))
+    rows = orders.groupBy("o_custkey").agg(F.slice(keys["key"], 1, 3).alias("l")).select(c.alias("relation_id"), kind.alias("kind"), "l")
     two = F.col("kind").isin("implies", "excludes", "equals") & (F.col("relation_id") % 7 != 0)
     return rows.select("relation_id", "kind", F.when(two, F.slice("l", 1, 2)).otherwise(F.col("l")).alias("labels"), (F.col("relation_id") % 13 / F.lit(10.0)).alias("confidence"))
 
@@ -51,7 +53,7 @@ def refutation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-46: with a Wilson interval; without tests from 0."""
     rows = _judged(spark, sf_dir).groupBy("kind").agg(F.count_if(F.col("verdict") != "untestable").alias("n"), F.count_if(F.col("verdict") == "refuted").alias("refuted"))
     safe = wilson(F.col("refuted"), F.when(F.col("n") > 0, F.col("n")))
-    return rows.select("kind", "n", "refuted", F.round(F.coalesce(safe["low"], F.lit(0.0)), 5).alias("low"))
+    return rows.select("kind", "n", "refuted", scaled_round(F.coalesce(safe["low"], F.lit(0.0)), 5).alias("low"))
 
 
 @query(_RELATIONS + """, p AS (SELECT list_filter([CASE WHEN kind = 'other' THEN 'unknown type' END, CASE WHEN len(list_filter(labels, lambda x: x % 20 = 0)) > 0 THEN 'unknown label' END, CASE WHEN len(list_distinct(labels)) < len(labels) THEN 'repeated label' END,
