@@ -415,3 +415,32 @@ def test_refutation_rates_with_orders_without_keys(spark, tmp_path):
     for name in ("relation_verdicts", "refutation_rates"):
         got = sorted(map(repr, map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())))
         assert got == sorted(map(repr, duck.sql(registry.oracle_sql()[name]).fetchall()))
+
+
+@pytest.mark.parametrize("most_counting", [0, 2, 8])
+def test_search_by_subsets_against_all_pairs(spark, monkeypatch, most_counting):
+    import math
+
+    monkeypatch.setattr(graphs, "MOST_COUNTING", most_counting)
+    draw = random.Random(4)
+    sets = {i: set(draw.sample("abcdefghij", draw.randint(0, 5))) for i in range(120)}
+    items = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, tokens array<string>")
+    df = {t: sum(t in x for x in sets.values()) for t in "abcdefghij"}
+    weight = {t: math.log(len(sets) / n) for t, n in df.items() if n <= len(sets) * 0.26}
+    assert 0 < len(weight) < len(df)
+    want = set()
+    for q in range(0, 120, 3):
+        own = sets[q] & weight.keys()
+        scored = [(-round(sum(weight[t] for t in sorted(own & x)) / sum(weight[t] for t in sorted(own)), 6), i) for i, x in sets.items() if own & x]
+        want |= {(q, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:4], 1)}
+    assert {tuple(r) for r in graphs.search(items, items.filter("id % 3 = 0"), 0.26, 4).collect()} == want
+
+
+def test_search_of_distinct_items_with_frequent_tokens(spark):
+    """120,000 items, all different and all queries, half with one frequent token and half with another: 7.2 billion hits."""
+    words = F.array(F.when(F.col("id") % 2 == 0, "even").otherwise("odd"), F.concat(F.lit("n"), F.col("id").cast("string")))
+    items = spark.range(120_000).select("id", words.alias("tokens"))
+    rows = graphs.search(items, items, 0.5, 3)
+    assert rows.groupBy("rank").count().orderBy("rank").collect() == [(1, 120_000), (2, 120_000), (3, 120_000)]
+    assert rows.filter("rank = 1 AND id <> query").count() == 0
+    assert sorted(r.id for r in rows.filter("query = 90001").collect()) == [1, 3, 90001]

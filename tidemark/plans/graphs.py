@@ -19,7 +19,9 @@ _ITEMS = f"WITH items AS (SELECT p_partkey AS id, {_TOKENS.format(x='t')} AS tok
 
 def parts_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("s"), F.col("p_size").cast("string")), F.concat(F.lit("k"), (F.col("p_partkey") % 300).cast("string")))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tokens(text).alias("tokens"))
+    # a table of few files is split into tokens by all tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read(spark, sf_dir, "part").repartition(parts).select(F.col("p_partkey").alias("id"), tokens(text).alias("tokens"))
 
 
 _PAIRS = ", pairs AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) AS score FROM items a JOIN items b ON a.id < b.id WHERE round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(a.tokens || b.tokens)), 6) >= 0.6)"
