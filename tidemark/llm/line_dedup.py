@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import ROW, discard, release_shuffles, stored, with_row_key
-from ._text import LOWERED, WORD, Piece, byte_hash, mix, owners, pieces, range_hash, running
+from ._text import LOWERED, WORD, Piece, byte_hash, mix, owners, pieces, range_hash, returned, running
 
 #: Counters of the rarity table, 2 bytes each.
 SKETCH = 1 << 22
@@ -120,7 +120,7 @@ def _summed(parts: DataFrame, kind: str, merge: np.ufunc) -> np.ndarray:
         names = sorted(whole)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([zstandard.compress(whole[n].tobytes(), 1) for n in names], pa.binary())], ["slice", "part"])
 
-    found = parts.repartition("slice").mapInArrow(apply, "slice int, part binary").toArrow().sort_by("slice")
+    found = parts.repartition("slice").mapInArrow(returned(apply), "slice int, part binary").toArrow().sort_by("slice")
     if not len(found):
         return np.zeros(0, dtype=kind)
     return np.concatenate([np.frombuffer(zstandard.decompress(x.as_buffer()), dtype=kind) for x in found.column("part")])
@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
                 np.add.at(table, (tokens & U(SKETCH - 1)).astype(np.int64), 1)
         yield _sliced(table, 64)
 
-    table = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), "<i8", np.add)
+    table = _summed(docs.select("text").mapInArrow(returned(count), "slice int, part binary"), "<i8", np.add)
     return _logs(table) if len(table) else np.zeros(SKETCH, dtype=np.uint16), int(table.sum())
 
 
@@ -368,7 +368,7 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, hot: int, threshold: Fraction
         if size:
             yield rows(_dealt(held, shards))
 
-    return docs.select("doc_id", "text").mapInArrow(apply, LINE)
+    return docs.select("doc_id", "text").mapInArrow(returned(apply), LINE)
 
 
 PAIR = "x long, y long, x_doc long, y_doc long, apart int, more boolean, line int, check long"
@@ -411,7 +411,7 @@ def candidate_pairs(rows: DataFrame, threshold: Fraction, tasks: int, limit: int
             }
             yield pa.RecordBatch.from_arrays([pa.array(columns[n]) if n in columns else pa.nulls(len(later), k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return rows.repartition(tasks, "shard").mapInArrow(join, PAIR)
+    return rows.repartition(tasks, "shard").mapInArrow(returned(join), PAIR)
 
 
 def _packed(entries: np.ndarray) -> bytes:
@@ -464,7 +464,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         yield _sliced(np.packbits(table), 64)
 
     def marked(*columns: str) -> np.ndarray:
-        found = _summed(pairs.select(*columns).mapInArrow(mark, "slice int, part binary"), "u1", np.bitwise_or)
+        found = _summed(pairs.select(*columns).mapInArrow(returned(mark), "slice int, part binary"), "u1", np.bitwise_or)
         return found if len(found) else np.zeros(BITS // 8, dtype=np.uint8)
 
     shared = docs.sparkSession.sparkContext.broadcast((marked("x", "y"), marked("x_doc", "y_doc")))
@@ -485,7 +485,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 tokens = [lines.tokens[i : i + n].tobytes() for i, n in zip(lines.first[wanted].tolist(), lines.size[wanted].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.set[wanted].view(np.int64)), pa.array(tokens, pa.binary())], ["set", "tokens"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(apply, "set long, tokens binary").dropDuplicates(["set"]), "sets")
+    return stored(docs.select("doc_id", "text").mapInArrow(returned(apply), "set long, tokens binary").dropDuplicates(["set"]), "sets")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -503,7 +503,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> Dat
                 good.append(shared * u >= t * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("x", "y", "a", "b").mapInArrow(verify, "x long, y long")
+    return both.select("x", "y", "a", "b").mapInArrow(returned(verify), "x long, y long")
 
 
 def removed_lines(docs: DataFrame, threshold: str = "0.8") -> DataFrame:

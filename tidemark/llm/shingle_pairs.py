@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import release_shuffles, stored
-from ._text import LOWERED, WORD, Piece, mix, pieces, range_hash, running, windows
+from ._text import LOWERED, WORD, Piece, mix, pieces, range_hash, returned, running, windows
 
 #: MinHash bands and the minima in each.
 BANDS, DEPTH = 40, 5
@@ -81,7 +81,7 @@ def add_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 node = batch.column(0).slice(piece.first, piece.n)
                 yield pa.RecordBatch.from_arrays([node, pa.array(fingerprints(piece, shingle)), pa.array(sets.view(np.int64)), bands], ["node", "fp", "set", "bands"])
 
-    return docs.mapInArrow(apply, "node long, fp long, set long, bands array<long>")
+    return docs.mapInArrow(returned(apply), "node long, fp long, set long, bands array<long>")
 
 
 def similar_within(left: list[tuple], right: list[tuple], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int, threshold: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(tokens, pa.binary())], ["node", "root", "tokens"])
 
     wanted = docs.join(groups, "node").select("node", "root", "text")
-    sets = stored(wanted.mapInArrow(read, "node long, root long, tokens binary"), "shingles")
+    sets = stored(wanted.mapInArrow(returned(read), "node long, root long, tokens binary"), "shingles")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     parted = sets.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     chunks = parted.groupBy("root", "part", "parts").agg(F.collect_list(F.struct("node", "tokens")).alias("own"))
@@ -158,4 +158,4 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int, threshold: s
             a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.mapInArrow(compare, LINK)
+    return pairs.mapInArrow(returned(compare), LINK)

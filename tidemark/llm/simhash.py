@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shingle_pairs
 from ._scratch import ROW, release_shuffles, stored, with_row_key
-from ._text import LOWER, WORD, Piece, pieces
+from ._text import LOWER, WORD, Piece, pieces, returned
 
 #: Fingerprints of one shard chunk.
 CHUNK = 2048
@@ -62,7 +62,7 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = [fingerprints(piece, shingle) for piece in pieces(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(apply, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(returned(apply), "doc_id long, fp long")
 
 
 class BKForest:
@@ -194,7 +194,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         if held[0]:
             yield _link_batch(*_links(*held, radius))
 
-    return shards.mapInArrow(apply, LINK)
+    return shards.mapInArrow(returned(apply), LINK)
 
 
 def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
